@@ -92,9 +92,8 @@ def shared_records(df: DataFrame, record_id: Column, side: Column, identifiers:
     The join is on the hash alone, so hot fingerprints are split by adaptive skew joins.
     """
     n = len(identifiers)
-    marks = fingerprints(df, record_id, side, identifiers)
-    a = marks.where("side").select(F.col("record_id").alias("record_id_a"), "h", F.col("place").alias("place_a"), *(F.col(f"c{j}").alias(f"a{j}") for j in range(n)))
-    b = marks.where("not side").select(F.col("record_id").alias("record_id_b"), "h", F.col("place").alias("place_b"), *(F.col(f"c{j}").alias(f"b{j}") for j in range(n)))
+    a = fingerprints(df.where(side), record_id, side, identifiers).select(F.col("record_id").alias("record_id_a"), "h", F.col("place").alias("place_a"), *(F.col(f"c{j}").alias(f"a{j}") for j in range(n)))
+    b = fingerprints(df.where(~side), record_id, side, identifiers).select(F.col("record_id").alias("record_id_b"), "h", F.col("place").alias("place_b"), *(F.col(f"c{j}").alias(f"b{j}") for j in range(n)))
     equal = [F.coalesce((F.col(f"a{j}") == F.col(f"b{j}")).cast("int"), F.lit(0)) for j in range(n)]
     seeds = a.join(b, "h").where("place_a = place_b").withColumn("shared", sum(equal[1:], equal[0]))
     chains = seeds.where("shared >= 2").groupBy("record_id_a", "record_id_b").agg(F.max("shared").alias("shared"), F.expr("bit_count(bit_or(shiftleft(1, cast(place_a as int))))").alias("seeds"))
