@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import written
 from ..sources.tables import table
+from .mixing import drawn, plan, shares
+from .packing import fills, packed
 from .page_spam import scores
+from .tokens import token_counts
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return packed(written(token_counts(table(spark, d, "documents")), "sizes"), table(spark, d, "containers"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text, or of each piece of a text that is longer than the capacity."""
+    return _pieces(spark, d)
+
+
+def p7_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of each container."""
+    return fills(_pieces(spark, d))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Each use of each record that is drawn."""
+    sizes = written(token_counts(table(spark, d, "documents"), keep=("source",)), "sizes")
+    return drawn(sizes, plan(sizes, table(spark, d, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    sizes = written(token_counts(table(spark, d, "documents"), keep=("source",)), "sizes")
+    planned = plan(sizes, table(spark, d, "mix_targets"))
+    return shares(planned, drawn(sizes, planned))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,5 +52,5 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("source", "lang").agg(F.count("*").alias("messages"), F.count_if("is_case").alias("cases"), F.round(F.try_divide(F.sum("listed"), F.sum(F.col("listed") + F.col("plain"))), 6).alias("listed_share"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p7_containers": p7_containers, "p7_fills": p7_fills, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sources": p9_sources}
 SQL: dict[str, str] = {}
