@@ -37,7 +37,7 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).select("load_id", "site_code", "column_name", "rows", "nulls", "missing", "distinct_values", "numeric", "outside", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(q[1], 6).alias("median"), F.round(o[1], 6).alias("other_median"))
 
 
-def _catalog(spark: SparkSession, d: str) -> list[str]:
+def catalog(spark: SparkSession, d: str) -> list[str]:
     """Field names of the catalogue: a fixed list of a few names."""
     return [r["field_name"] for r in table(spark, d, "field_catalog").select("field_name").distinct().orderBy("field_name").collect()]
 
@@ -45,7 +45,7 @@ def _catalog(spark: SparkSession, d: str) -> list[str]:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Each change that a file makes to the fields of its feed."""
     rows = table(spark, d, "export_rows")
-    header = written(drift.headers(drift.file_fields(rows, _catalog(spark, d))), "headers")
+    header = written(drift.headers(drift.file_fields(rows, catalog(spark, d))), "headers")
     order = written(drift.file_order(rows), "order")
     return drift.changes(order, header).select(F.col("file_id").cast("int").alias("file_id"), "field_name", "change_kind")
 
@@ -53,14 +53,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_log(spark: SparkSession, d: str) -> DataFrame:
     """The same changes in order of time, with spelling and kind before and after."""
     rows = table(spark, d, "export_rows")
-    header = written(drift.headers(drift.file_fields(rows, _catalog(spark, d))), "headers")
+    header = written(drift.headers(drift.file_fields(rows, catalog(spark, d))), "headers")
     log = drift.changes(written(drift.file_order(rows), "order"), header)
     return log.select("feed", "exported_at", "file_id", "field_name", "change_kind", "before.spelling", F.col("before.kind").alias("kind"), F.col("after.spelling").alias("new_spelling"), F.col("after.kind").alias("new_kind")).orderBy("feed", "exported_at", "file_id", "field_name", "change_kind")
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable lines as one table with the catalogued fields in their union types."""
-    rows, names = table(spark, d, "export_rows"), _catalog(spark, d)
+    rows, names = table(spark, d, "export_rows"), catalog(spark, d)
     return drift.union_table(rows, names, drift.union_schema(drift.file_fields(rows, names), names))
 
 
