@@ -62,8 +62,8 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in containers.where("capacity_tokens > 0").distinct().orderBy("container_kind").collect()]
     shards = {k: max(1, -(-total // (SHARD_CONTAINERS * c))) for k, c in kinds}
-    known = sizes.sparkSession.createDataFrame([(k, c, int(shards[k])) for k, c in kinds], "container_kind string, capacity_tokens int, shards long")
-    each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens")).join(F.broadcast(known))
+    known = F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens"), F.lit(int(shards[k])).cast("long").alias("shards")) for k, c in kinds))
+    each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.inline(known))
     each = each.withColumns({"whole": F.when(F.col("tokens") > F.col("capacity_tokens"), F.floor((F.col("tokens") - 1) / F.col("capacity_tokens"))).otherwise(0), "shard": F.pmod(F.xxhash64("doc_id"), F.col("shards"))})
     full = each.where("whole > 0").select("container_kind", "capacity_tokens", "doc_id", F.posexplode(F.expr("sequence(1L, whole)")).alias("piece", "_"), F.col("capacity_tokens").cast("long").alias("tokens"))
     full = full.select("container_kind", "capacity_tokens", F.concat_ws("-", "container_kind", F.lit("text"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "tokens")
