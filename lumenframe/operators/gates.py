@@ -30,15 +30,31 @@ def completed(df: DataFrame, columns: Sequence[str] = CANONICAL) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
 
 
+def flagged(df: DataFrame) -> DataFrame:
+    """``df`` with a flag for each canonical column: whether its value is missing. Rules read the flags, so each is worked out once a row."""
+    kinds = dict(df.dtypes)
+    blank = lambda c: (F.col(c).isNull() | F.isnan(c)) if kinds[c] in ("double", "float") else (F.col(c).isNull() | F.col(c).rlike(r"^\s*(?:NaN\s*)?$")) if kinds[c] == "string" else missing(c)
+    return df.withColumns({f"_missing_{c}": blank(c) for c in CANONICAL if c in kinds})
+
+
+def absent(c: str) -> Column:
+    """The flag of a column."""
+    return F.col(f"_missing_{c}")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    return df.drop(*(f"_missing_{c}" for c in CANONICAL))
+
+
 def checked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with ``errors`` and ``warnings``: names of the rules that each row breaks, in the rules' order."""
     names = lambda level: F.array_compact(F.array(*(F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules if r.level == level))).cast("array<string>")
-    return df.withColumns({"errors": names("error"), "warnings": names("warning")})
+    return plain(flagged(df).withColumns({"errors": names("error"), "warnings": names("warning")}))
 
 
 def verdict(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule, level, n) for every rule, in one pass: how many rows break it."""
-    counted = df.agg(*(F.count_if(F.coalesce(r.broken, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)))
+    counted = flagged(df).agg(*(F.count_if(F.coalesce(r.broken, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)))
     each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.col(f"r{i}").alias("n")) for i, r in enumerate(rules)))
     return counted.select(F.explode(each).alias("x")).select("x.*")
 
@@ -47,7 +63,7 @@ def passed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row: n_rows, n_failed, n_warned and passed (rows, and none broken)."""
     broken = lambda level: reduce(lambda x, y: x | y, (F.coalesce(r.broken, F.lit(False)) for r in rules if r.level == level), F.lit(False))
     bad, warned = broken("error"), broken("warning")
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_failed"), F.count_if(warned).alias("n_warned")).withColumn("passed", (F.col("n_rows") > 0) & (F.col("n_failed") == 0))
+    return flagged(df).agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_failed"), F.count_if(warned).alias("n_warned")).withColumn("passed", (F.col("n_rows") > 0) & (F.col("n_failed") == 0))
 
 
 def low(c: str) -> Column:
@@ -81,12 +97,12 @@ def roi_rules(strict: bool = False) -> list[Rule]:
     there, whole = _whole_box()
     label = low("roi_type")
     approved = F.coalesce(*(F.when(low("biomarker") == b, label.isin(*rois)) for b, rois in ROIS.items()), F.lit(False))
-    named = ~missing("roi_type") & ~missing("biomarker")
+    named = ~absent("roi_type") & ~absent("biomarker")
     level = "error" if strict else "warning"
     return [
         Rule("roi_unsupported", named & ~approved & ~label.isin(*EXPLORATORY_ROIS)),
         Rule("roi_exploratory", named & ~approved & label.isin(*EXPLORATORY_ROIS), level),
-        Rule("roi_missing", missing("roi_type"), level),
+        Rule("roi_missing", absent("roi_type"), level),
         Rule("roi_incomplete", ~there, level),
         Rule("roi_not_integer", there & ~whole),
         Rule("roi_outside", there & whole & ~box_inside()),
@@ -98,11 +114,11 @@ def canonical_rules(strict_roi: bool = False) -> list[Rule]:
     """Required fields, target, biomarker, unit and ROI."""
     unit = F.coalesce(*(F.when(F.col("biomarker") == b, F.col("target_unit") != u) for b, u in UNITS.items()), F.lit(False))
     return [
-        *(Rule(f"missing_{c}", missing(c)) for c in REQUIRED if c != "target_value"),
+        *(Rule(f"missing_{c}", absent(c)) for c in REQUIRED if c != "target_value"),
         Rule("target_not_numeric", number("target_value").isNull()),
         Rule("target_not_finite", number("target_value").isNotNull() & ~finite("target_value")),
         Rule("target_negative", number("target_value") < 0),
-        Rule("biomarker_unknown", ~missing("biomarker") & ~F.col("biomarker").isin(*UNITS)),
+        Rule("biomarker_unknown", ~absent("biomarker") & ~F.col("biomarker").isin(*UNITS)),
         Rule("unit_unexpected", F.col("target_unit").isNotNull() & unit),
         *roi_rules(strict_roi),
     ]
@@ -111,14 +127,14 @@ def canonical_rules(strict_roi: bool = False) -> list[Rule]:
 def acquisition_rules() -> list[Rule]:
     """Seven required fields; where all are there, numbers in range, a locked white balance and a known light."""
     needed = ("device_model", "exposure_us", "iso", "white_balance_mode", "working_distance_mm", "incidence_angle_deg", "illumination")
-    whole = ~F.greatest(*(missing(c) for c in needed))
+    whole = ~F.greatest(*(absent(c) for c in needed))
     return [
-        *(Rule(f"missing_{c}", missing(c)) for c in needed),
+        *(Rule(f"missing_{c}", absent(c)) for c in needed),
         *(Rule(f"{c}_invalid", whole & ~(finite(c) & (number(c) > 0))) for c in ("exposure_us", "iso", "working_distance_mm")),
         Rule("incidence_angle_deg_invalid", whole & ~(finite("incidence_angle_deg") & number("incidence_angle_deg").between(0, 90))),
         Rule("white_balance_auto", low("white_balance_mode").isin("auto", "awb")),
         Rule("illumination_unknown", whole & ~low("illumination").isin(*ILLUMINATION)),
-        Rule("illumination_incomparable", ~missing("illumination") & ~low("illumination").isin(*ILLUMINATION), "warning"),
+        Rule("illumination_incomparable", ~absent("illumination") & ~low("illumination").isin(*ILLUMINATION), "warning"),
     ]
 
 
@@ -132,7 +148,7 @@ def physics_rules(require_raw: bool = False) -> list[Rule]:
         Rule("white_balance_auto", F.coalesce(F.lower(F.col("white_balance_mode").cast("string")), F.lit("")).isin("", "auto", "awb")),
         Rule("distance_invalid", F.col("working_distance_mm").isNotNull() & ~(finite("working_distance_mm") & (number("working_distance_mm") > 0))),
         Rule("angle_invalid", F.col("incidence_angle_deg").isNotNull() & ~(finite("incidence_angle_deg") & number("incidence_angle_deg").between(0, 90))),
-        Rule("format_missing", missing("image_format"), "warning"),
+        Rule("format_missing", absent("image_format"), "warning"),
         Rule("distance_missing", F.col("working_distance_mm").isNull(), "warning"),
         Rule("angle_missing", F.col("incidence_angle_deg").isNull(), "warning"),
     ]
@@ -144,11 +160,11 @@ TARGET_FIELDS = ("biomarker", "reference_measurement_id", "reference_method", "r
 
 def target_rules(biomarker: str | None = None, unit: str | None = None) -> list[Rule]:
     """Where a target value comes from."""
-    whole = ~F.greatest(*(missing(c) for c in TARGET_FIELDS))
+    whole = ~F.greatest(*(absent(c) for c in TARGET_FIELDS))
     rules = [
-        *(Rule(f"missing_{c}", missing(c)) for c in TARGET_FIELDS),
+        *(Rule(f"missing_{c}", absent(c)) for c in TARGET_FIELDS),
         Rule("reference_type_unsupported", whole & ~low("reference_type").isin(*REFERENCE_TYPES)),
-        Rule("time_delta_invalid", whole & ~missing("target_time_delta_min") & ~(finite("target_time_delta_min") & (number("target_time_delta_min") >= 0))),
+        Rule("time_delta_invalid", whole & ~absent("target_time_delta_min") & ~(finite("target_time_delta_min") & (number("target_time_delta_min") >= 0))),
     ]
     if biomarker is not None:
         rules.append(Rule("biomarker_mismatch", whole & (low("biomarker") != biomarker.strip().lower())))
@@ -164,11 +180,11 @@ def intake_rules(biomarker: str | None = None, unit: str | None = None) -> list[
     approved = F.coalesce(*(F.when(low("biomarker") == b, low("roi_type").isin(*rois)) for b, rois in ROIS.items()), F.lit(False))
     there, _ = _whole_box()
     rules = [
-        *(Rule(f"missing_{c}", missing(c)) for c in texts),
+        *(Rule(f"missing_{c}", absent(c)) for c in texts),
         Rule("target_not_numeric", number("target_value").isNull()),
-        *(Rule(f"missing_{c}", missing(c)) for c in settings),
-        *(Rule(f"{c}_invalid", ~missing(c) & F.coalesce(number(c) < 0, F.lit(True))) for c in settings),
-        Rule("missing_white_balance_mode", missing("white_balance_mode")),
+        *(Rule(f"missing_{c}", absent(c)) for c in settings),
+        *(Rule(f"{c}_invalid", ~absent(c) & F.coalesce(number(c) < 0, F.lit(True))) for c in settings),
+        Rule("missing_white_balance_mode", absent("white_balance_mode")),
         Rule("white_balance_auto", low("white_balance_mode").isin("auto", "awb", "automatic")),
         Rule("illumination_unsupported", ~F.coalesce(low("illumination").isin(*ILLUMINATION), F.lit(False))),
         Rule("roi_unsupported", ~approved),
@@ -231,7 +247,7 @@ def video_preflight(df: DataFrame) -> DataFrame:
 
 def partition_identity(df: DataFrame) -> list[Rule]:
     """Every row of a partition names its patient, image and acquisition."""
-    return [Rule(f"missing_{c}", missing(c)) for c in ("patient_id", "image_id", "acquisition_id")]
+    return [Rule(f"missing_{c}", absent(c)) for c in ("patient_id", "image_id", "acquisition_id")]
 
 
 def first_repeat(df: DataFrame, key: str, order: str, alias: str = "duplicate_of") -> DataFrame:

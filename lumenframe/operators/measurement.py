@@ -218,58 +218,76 @@ def deming(x: Column | str, y: Column | str, variance_ratio: float = 1.0) -> lis
 BLOCK = 2048
 
 
-def _slope_counts(blocks: pd.DataFrame, low: float, high: float, width: int) -> pd.DataFrame:
+def _slopes(blocks: pd.DataFrame) -> np.ndarray:
+    """Angles of the slopes between the points of two blocks, or within one."""
     ids = sorted(blocks["block"])
-    a = blocks[blocks["block"] == ids[0]].iloc[0]
-    b = blocks[blocks["block"] == ids[-1]].iloc[0]
+    a, b = blocks[blocks["block"] == ids[0]].iloc[0], blocks[blocks["block"] == ids[-1]].iloc[0]
     dx = np.asarray(b["x"])[None, :] - np.asarray(a["x"])[:, None]
     dy = np.asarray(b["y"])[None, :] - np.asarray(a["y"])[:, None]
     use = dx != 0
     if len(ids) == 1:
         use &= np.triu(np.ones_like(use), 1).astype(bool)
-    s = dy[use] / dx[use]
-    s = s[(s >= low) & (s <= high)]
-    step = (high - low) / width if np.isfinite(high - low) and high > low else 0
-    part = np.minimum((s - low) // step, width - 1).astype(np.int64) if step else np.zeros(len(s), np.int64)
-    out = pd.DataFrame({"part": part, "s": s}).groupby("part")["s"].agg(["count", "min", "max"]).reset_index()
-    return out.rename(columns={"count": "n", "min": "low", "max": "high"})
+    return dy[use] / dx[use]
 
 
-def pairwise_slope_median(pairs: DataFrame, width: int = 4096) -> float:
+def pairwise_slope_median(pairs: DataFrame, width: int = 16384, few: int = 200_000) -> float:
     """The median slope of all pairs of points (Theil-Sen), without emitting the pairs.
 
-    Points are put into blocks, each two blocks meet in one task, which only counts slopes between the bounds that
-    still hold the median. The driver gets at most ``width`` counts a pass; the median is exact.
+    Points are put into blocks and each two blocks meet in one task, which counts its slopes by angle. Only the step of
+    angles that holds the median is counted again, finer, until few slopes are left in it; those are ranked exactly.
+    The driver gets at most ``width`` counts a pass and ``few`` slopes at the end.
     """
     n = pairs.count()
     blocks_n = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("subject"), F.lit(blocks_n)).alias("block")
     blocks = written(pairs.where("r is not null and m is not null").groupBy(block).agg(F.collect_list("r").alias("x"), F.collect_list("m").alias("y")), "blocks")
-    meet = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    meet = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("i", "j")
 
-    def passed(low: float, high: float) -> list:
-        run = lambda pdf: _slope_counts(pdf, low, high, width)
-        got = meet.groupBy("i", "j").applyInPandas(run, "part long, n long, low double, high double")
-        return got.groupBy("part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("part").collect()
+    def counted(low: float, high: float) -> dict[int, int]:
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = np.arctan(_slopes(pdf))
+            s = s[(s >= low) & (s <= high)]
+            part, k = np.unique(np.minimum((s - low) / (high - low) * width, width - 1).astype(np.int64), return_counts=True)
+            return pd.DataFrame({"part": part, "n": k})
 
-    bounds = passed(-np.inf, np.inf)
-    if not bounds:
-        raise ValueError("no two points differ in x")
-    total, low, high = sum(b["n"] for b in bounds), min(b["low"] for b in bounds), max(b["high"] for b in bounds)
-    found = []
-    for rank in sorted({(total - 1) // 2, total // 2}):
-        a, b, k = low, high, rank
-        while a < b:
-            for c in passed(a, b):
-                if k < c["n"]:
-                    narrowed = (c["low"], c["high"]) != (a, b)
-                    a, b = c["low"], c["high"]
+        return {r["part"]: r["n"] for r in meet.applyInPandas(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+
+    def ranked(rank: int, low: float, high: float, counts: dict[int, int]) -> float:
+        while True:
+            for part in sorted(counts):
+                if rank < counts[part]:
                     break
-                k -= c["n"]
-            if not narrowed:
+                rank -= counts[part]
+            step = (high - low) / width
+            a, b = low + part * step, low + (part + 1) * step
+            if counts[part] <= few or not low < a < b < high:
                 break
-        found.append(a if a == b else (a + b) / 2)
-    return float(np.mean(found))
+            low, high = a, b
+            counts = counted(low, high)
+        held = counts[part]
+
+        def take(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = _slopes(pdf)
+            t = np.arctan(s)
+            inside = (t >= low) & (t <= high)
+            mine = np.minimum((t - low) / (high - low) * width, width - 1).astype(np.int64) == part
+            v, k = np.unique(s[inside & mine], return_counts=True)
+            return pd.DataFrame({"s": v, "n": k})
+
+        rows = meet.applyInPandas(take, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").collect()
+        assert sum(r["n"] for r in rows) == held
+        for r in rows:
+            if rank < r["n"]:
+                return r["s"]
+            rank -= r["n"]
+        raise ValueError("rank out of range")
+
+    low, high = -np.pi / 2, np.pi / 2
+    counts = counted(low, high)
+    total = sum(counts.values())
+    if not total:
+        raise ValueError("no two points differ in x")
+    return float(np.mean([ranked(k, low, high, counts) for k in sorted({(total - 1) // 2, total // 2})]))
 
 
 def method_comparison(df: DataFrame, reference: str = "reference_value", measurement: str = "measurement_value", subject: str = "patient_id", variance_ratio: float = 1.0) -> DataFrame:
