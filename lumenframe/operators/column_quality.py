@@ -1,7 +1,7 @@
 """Data quality of columns between loads, from value counts alone.
 
 Missing: null, blank, a mark without letters or digits, or a word for no value. Numeric: a plain decimal.
-Each load is held against all other loads of its site together. Nulls in keys form a load of their own.
+Each load is held against all other loads of its site together. Rows without a load or a site belong to none and are left out.
 Empty tables give empty results; a load without numeric values has no range, median or constant.
 """
 

@@ -97,9 +97,9 @@ def file_order(rows: DataFrame) -> DataFrame:
 def changes(order: DataFrame, header: DataFrame) -> DataFrame:
     """feed, exported_at, file_id, field_name, change_kind, before and after: what each file changes against the previous of its feed."""
     steps = order.where("previous_id is not null")
-    now = steps.join(header, "file_id").select("feed", "exported_at", "file_id", "field_name", F.struct("spelling", "kind").alias("after"))
-    was = steps.join(header.withColumnRenamed("file_id", "previous_id"), "previous_id").select("feed", "exported_at", "file_id", "field_name", F.struct("spelling", "kind").alias("before"))
-    both = now.join(was, ["feed", "exported_at", "file_id", "field_name"], "full")
+    now = steps.join(header, "file_id").select("file_id", "field_name", F.struct("spelling", "kind").alias("after"))
+    was = steps.select("file_id", F.col("previous_id")).join(header.withColumnRenamed("file_id", "previous_id"), "previous_id").select("file_id", "field_name", F.struct("spelling", "kind").alias("before"))
+    both = now.join(was, ["file_id", "field_name"], "full").join(steps.select("file_id", "feed", "exported_at"), "file_id")
     named = F.array_compact(
         F.array(
             F.when(F.col("before").isNull(), F.lit("added")),

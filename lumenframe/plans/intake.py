@@ -17,7 +17,7 @@ MEASURED = ("target_value", "working_distance_mm", "incidence_angle_deg")
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     raw = value_counts(spark, f"{d}/intake_manifest.parquet", ["load_id", "site_code", "biomarker"], MEASURED)
     by = ["load_id", "site_code", "biomarker", "column_name", "value"]
-    counts = raw.groupBy(*by).agg(F.sum("n").alias("n")).withColumn("load_id", F.col("load_id").cast("int"))
+    counts = raw.groupBy(*by).agg(F.sum("n").alias("n")).withColumn("load_id", F.col("load_id").cast("int")).where("load_id is not null and site_code is not null")
     return written(quality.classified(counts, table(spark, d, "column_bounds")), "counts")
 
 
