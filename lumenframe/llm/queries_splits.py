@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import fresh_path
+from ..plans.staging import fresh_path, written
 from ..sources.tables import table
 from . import identity as ident
 from .vector_cells import CellIndex, replay
@@ -42,7 +42,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:
-    return replay(CellIndex(spark, fresh_path(spark, "cells")), _evidence(spark, d))
+    return replay(CellIndex(spark, fresh_path(spark, "cells")), written(_evidence(spark, d).where("vec is not null"), "evidence"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
