@@ -26,7 +26,7 @@ BUCKETS = 64
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, records, tokens, and units: the expected copies of a record, in RESOLUTION units."""
     have = sizes.where("source is not null").groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
-    t = targets.where("target_share > 0 and max_repeats > 0").join(have.where("tokens > 0"), "source")
+    t = targets.select("source", "target_share", "max_repeats").where("target_share > 0 and max_repeats > 0").join(have.where("tokens > 0"), "source")
     total = t.agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
     copies = F.col("target_share") * F.lit(float(total)) / F.col("tokens")
     return t.withColumn("units", F.least(F.round(copies * RESOLUTION), F.col("max_repeats") * RESOLUTION).cast("long"))
@@ -36,7 +36,7 @@ def drawn(sizes: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
     """source, doc_id, tokens and copy (from 1) for each use of a record. ``sizes`` is (doc_id, source, tokens)."""
     offset = random.Random(seed).randrange(RESOLUTION)
     bucket = F.when(F.col("tokens") > 0, F.floor(F.log2("tokens") * 64)).otherwise(-1) * BUCKETS + F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    each = sizes.join(F.broadcast(planned.select("source", "units")), "source").withColumn("bucket", bucket.cast("long"))
+    each = sizes.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).join(F.broadcast(planned.select("source", "units")), "source").withColumn("bucket", bucket.cast("long"))
     ends = each.groupBy("source", "bucket").agg(F.sum("units").alias("held"))
     ends = ends.withColumn("before", F.coalesce(F.sum("held").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     run = F.sum("units").over(W.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))

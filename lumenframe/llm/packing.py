@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_CONTAINERS = 16384
+_PIECES = "container_kind string, capacity_tokens int, container_id string, doc_id long, piece int, tokens long"
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -61,6 +62,8 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in containers.where("capacity_tokens > 0").distinct().orderBy("container_kind").collect()]
+    if not kinds:
+        return sizes.sparkSession.createDataFrame([], _PIECES)
     shards = {k: max(1, -(-total // (SHARD_CONTAINERS * c))) for k, c in kinds}
     known = F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens"), F.lit(int(shards[k])).cast("long").alias("shards")) for k, c in kinds))
     each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.inline(known))
@@ -75,8 +78,7 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
         where = f"{shard['container_kind'].iloc[0]}-{shard['shard'].iloc[0]}-"
         return pd.DataFrame({"container_kind": shard["container_kind"], "capacity_tokens": shard["capacity_tokens"], "container_id": [where + str(b) for b in bins], "doc_id": shard["doc_id"], "piece": shard["piece"], "tokens": shard["tokens"]})
 
-    schema = "container_kind string, capacity_tokens int, container_id string, doc_id long, piece int, tokens long"
-    return full.unionByName(rest.groupBy("container_kind", "shard").applyInPandas(pack, schema))
+    return full.unionByName(rest.groupBy("container_kind", "shard").applyInPandas(pack, _PIECES))
 
 
 def fills(pieces: DataFrame) -> DataFrame:
