@@ -31,10 +31,11 @@ def completed(df: DataFrame, columns: Sequence[str] = CANONICAL) -> DataFrame:
 
 
 def flagged(df: DataFrame) -> DataFrame:
-    """``df`` with a flag for each canonical column: whether its value is missing. Rules read the flags, so each is worked out once a row."""
+    """``df`` with every canonical column and a flag for each: whether its value is missing. Rules read the flags, so each is worked out once a row."""
+    df = completed(df)
     kinds = dict(df.dtypes)
     blank = lambda c: (F.col(c).isNull() | F.isnan(c)) if kinds[c] in ("double", "float") else (F.col(c).isNull() | F.col(c).rlike(r"^\s*(?:NaN\s*)?$")) if kinds[c] == "string" else missing(c)
-    return df.withColumns({f"_missing_{c}": blank(c) for c in CANONICAL if c in kinds})
+    return df.withColumns({f"_missing_{c}": blank(c) for c in CANONICAL})
 
 
 def absent(c: str) -> Column:
@@ -42,14 +43,10 @@ def absent(c: str) -> Column:
     return F.col(f"_missing_{c}")
 
 
-def plain(df: DataFrame) -> DataFrame:
-    return df.drop(*(f"_missing_{c}" for c in CANONICAL))
-
-
 def checked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with ``errors`` and ``warnings``: names of the rules that each row breaks, in the rules' order."""
     names = lambda level: F.array_compact(F.array(*(F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules if r.level == level))).cast("array<string>")
-    return plain(flagged(df).withColumns({"errors": names("error"), "warnings": names("warning")}))
+    return flagged(df).select(*df.columns, names("error").alias("errors"), names("warning").alias("warnings"))
 
 
 def verdict(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
