@@ -83,7 +83,7 @@ class Trie:
     """Paths of one field: labels, aliases, and words without vowels (which only match exactly)."""
 
     def __init__(self, paths: Iterable[tuple[str, int]]):
-        self.root, self.bare, self.ends = Node(), {}, []
+        self.root, self.bare, self.ends, self.longest = Node(), {}, [], 0
         for path, entry in paths:
             node = self.root
             for ch in (words := _words(plain(path))):
@@ -91,6 +91,7 @@ class Trie:
             if words:
                 node.entries.add(entry)
                 self.ends.append((words, entry))
+                self.longest = max(self.longest, len(words))
                 bare = words[0] + _VOWELS.sub("", words[1:])
                 if len(bare) >= 4 and bare != words:
                     self.bare.setdefault(bare, set()).add(entry)
@@ -98,6 +99,8 @@ class Trie:
     def within(self, value: str, limit: int) -> dict[int, int]:
         """Every entry with a path within ``limit`` edits of ``value``, with its smallest distance."""
         found: dict[int, int] = {}
+        if len(value) > self.longest + limit:
+            return found
         stack = [(self.root, "", tuple(range(len(value) + 1)), None)]
         while stack:
             node, last, row, before = stack.pop()

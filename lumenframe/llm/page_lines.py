@@ -25,7 +25,7 @@ os as um uma e ou não é são com por para do da dos das no na nos nas em que s
 """.split()
 )
 
-URL = re.compile(r"(?i)(?:\b(?:h(?:tt|xx)ps?|ftp)\s?:\s?//|\bwww\d?\.)[^\s<>\])]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:\.|\s?\[\.\]\s?)(?:example|test|invalid|com|net|org|info|shop)/[^\s<>\])]*")
+URL = re.compile(r"(?i)(?:\b(?:h(?:tt|xx)ps?|ftp)\s?:\s?//|\bwww\d?\.)[^\s<>\])]+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}(?:\.|\s?\[\.\]\s?)(?:example|test|invalid|com|net|org|info|shop)/[^\s<>\])]*")
 _INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁯﻿]")
 _TABLE = str.maketrans(*fold_tables())
 _SPELLED = re.compile(r"(?<!\w)\w(?:([.\-_*·])\w)(?:\1\w)+(?:\1?\s\1?\w(?:\1\w)+)*\1?")
@@ -49,6 +49,7 @@ _HIDDEN_IN = re.compile("\\w[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+\\w")
 _MIXED = re.compile("[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]")
 _MAYBE_SPELLED = re.compile(r"\w[.\-_*·]\w[.\-_*·]\w(?:[.\-_*·\s]|$)")
 _MAYBE_URL = re.compile(r"(?i)//|www|\.(?:example|test|invalid|com|net|org|info|shop)/")
+_ADDRESS = re.compile(r"(?:->\s*)?\b\d{1,3}(?:\.\d{1,3}){3}\b|\(?\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}\)?")
 _CONTACT = re.compile(r"(?i)^\W*(?:tel|phone|fax|mobil\w*)\b")
 _READING = re.compile(r"[^\W\d]\s*:\s*\d")
 _INNER = re.compile(r"[.!?]\s+(?:\[\w+\]\s+|!+\s+|:-\)\s*)?(?=[A-ZÀ-ÖØ-ÞЀ-Я¿¡])")
@@ -89,6 +90,7 @@ def disguised(text: str) -> int:
 def line(text: str) -> Line:
     hidden = disguised(text)
     text = unspell(text)
+    text = _ADDRESS.sub(" ", text)
     links = URL.findall(text) if _MAYBE_URL.search(text) else []
     rest = re.sub(r"\[/?url=?\]?|\(\s*\)|\[\s*\]", " ", URL.sub(" ", text)) if links else text
     w = words(rest)
