@@ -24,6 +24,18 @@ def indexed(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:
     return s.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit(_PLACE))).drop("_range", "_place", "_start")
 
 
+def running_total(df: DataFrame, keys: Sequence[str], weight: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` of the rows before each, in the order of unique ``keys``.
+
+    Rows are sorted into ranges, summed within each, and only the ranges' totals meet in one place.
+    """
+    s = written(df.sort(*keys).withColumn("_range", F.spark_partition_id()), "sorted")
+    totals = s.groupBy("_range").agg(F.sum(weight).alias("_total"))
+    starts = totals.select("_range", F.coalesce(F.sum("_total").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(weight).over(W.partitionBy("_range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return s.withColumn(name, inside).join(starts, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], width: int = 4096, small: int = 100_000) -> list[float]:
     """The values at ``ranks`` (from 0) of a numeric column without nulls.
 

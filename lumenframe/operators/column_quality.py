@@ -61,13 +61,17 @@ def load_profile(counts: DataFrame) -> DataFrame:
 
 
 def others_profile(counts: DataFrame, profile: DataFrame) -> DataFrame:
-    """For each load and column, over all other loads of its site: rows, missing and the quartiles of values inside bounds."""
+    """For each load and column, over all other loads of its site: rows, missing and the quartiles of values inside bounds.
+
+    The others' counts are the site's less the load's own, so a site costs its loads times its distinct values, however many rows they hold.
+    """
     by = ["site_code", "column_name"]
     loads = profile.select("site_code", "column_name", "load_id")
     site = profile.groupBy(*by).agg(F.sum("rows").alias("site_rows"), F.sum("missing").alias("site_missing"))
-    inside = counts.where("inside").groupBy(*by, "load_id", "number").agg(F.sum("n").alias("same")).withColumnRenamed("load_id", "other_load")
-    middle = loads.join(inside, by).where("not (load_id <=> other_load)").groupBy(*by, "load_id", "number").agg(F.sum("same").alias("same"))
-    middle = middle.groupBy(*by, "load_id").agg(F.expr("percentile(number, array(0.25, 0.5, 0.75), same)").alias("other_quartiles"))
+    inside = counts.where("inside").groupBy(*by, "load_id", "number").agg(F.sum("n").alias("same"))
+    whole = inside.groupBy(*by, "number").agg(F.sum("same").alias("all"))
+    rest = loads.join(whole, by).join(inside, [*by, "load_id", "number"], "left").withColumn("rest", F.col("all") - F.coalesce("same", F.lit(0))).where("rest > 0")
+    middle = rest.groupBy(*by, "load_id").agg(F.expr("percentile(number, array(0.25, 0.5, 0.75), rest)").alias("other_quartiles"))
     return profile.join(site, by).join(middle, [*by, "load_id"], "left").withColumns({"other_rows": F.col("site_rows") - F.col("rows"), "other_missing": F.col("site_missing") - F.col("missing")}).drop("site_rows", "site_missing")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_col, finite, guarded, pearson, ratio
-from ..functions.ordering import quantiles
+from ..functions.ordering import quantiles, running_total
 from ..plans.staging import written
 
 Z = 1.96
@@ -172,10 +172,10 @@ def temporal_stability(df: DataFrame, value: str = "measurement_value", session:
 
 
 def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """``df`` with the rank of ``column`` from 1, ties sharing their mean rank. Ranks come from counts of distinct values, joined back."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    below = counts.withColumn("_below", F.coalesce(F.sum("_n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return df.join(below.select(F.col(column).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(alias)), F.col(column) == F.col("_v")).drop("_v")
+    """``df`` with the rank of ``column`` from 1, ties sharing their mean rank. Ranks come from counts of distinct values, summed up in ranges and joined back."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    below = running_total(counts, ["_v"], "_n", "_below")
+    return df.join(below.select("_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(alias)), F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
