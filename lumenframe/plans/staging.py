@@ -26,6 +26,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; for heavy work a row, and after columns are pruned.
+
+    Inputs of many files are left as they are, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the shared folder: later jobs read files, and survive lost executors."""
     shared_folder(df.sparkSession)
