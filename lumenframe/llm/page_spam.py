@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import written
+from ..plans.staging import spread, written
 from .mail import own_lines
 from .page_lines import FUNCTION_WORDS, page
 
@@ -38,7 +38,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lines(documents: DataFrame) -> DataFrame:
     """One row for each own line of each message, with what it is and its folded words."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null").mapInArrow(_read, _LINES)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
+    return spread(texts).mapInArrow(_read, _LINES)
 
 
 def pairs(df: DataFrame, *keep: str) -> DataFrame:

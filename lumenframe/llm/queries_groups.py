@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import cut
+from ..plans.staging import cut, spread
 from ..sources.tables import table
 from . import identity as ident
 from .canonical_values import map_values
@@ -16,7 +16,7 @@ SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    return map_values(table(spark, d, "captures"), FIELDS, table(spark, d, "vocabulary"))
+    return map_values(spread(table(spark, d, "captures").select("record_id", *FIELDS)), FIELDS, table(spark, d, "vocabulary"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "visits").select("visit_id", ident.patient_key("patient_id").alias("patient"), ident.unit_key("device_model").alias("unit"))
+    v = spread(table(spark, d, "visits").select("visit_id", "patient_id", "device_model")).select("visit_id", ident.patient_key("patient_id").alias("patient"), ident.unit_key("device_model").alias("unit"))
     return grouped(v, "visit_id", ["patient", "unit"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import fresh_path, written
+from ..plans.staging import fresh_path, spread, written
 from ..sources.tables import table
 from . import identity as ident
 from .vector_cells import CellIndex, replay
@@ -13,7 +13,7 @@ from .winnow import shared_records
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "captures")
+    c = spread(table(spark, d, "captures").select("record_id", "split_name", "patient_id", "image_id", "acquisition_id"))
     return shared_records(c, F.col("record_id"), F.col("split_name") == "train", [ident.patient_key("patient_id"), ident.image_key("image_id"), ident.acquisition_key("acquisition_id")])
 
 
@@ -36,7 +36,7 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     """Two vectors a file: its digest, and the hash of the place its path names."""
-    f = table(spark, d, "inventory").select("file_id", ident.digest_key("sha256").alias("digest"), F.md5(ident.path_key("image_path")).alias("place"))
+    f = spread(table(spark, d, "inventory").select("file_id", "sha256", "image_path")).select("file_id", ident.digest_key("sha256").alias("digest"), F.md5(ident.path_key("image_path")).alias("place"))
     both = F.array(F.struct(F.lit(0).cast("byte").alias("kind"), F.unhex("digest").alias("vec")), F.struct(F.lit(1).cast("byte").alias("kind"), F.unhex(F.rpad("place", 64, "0")).alias("vec")))
     return f.select("file_id", F.explode(both).alias("e")).select("file_id", "e.kind", "e.vec")
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import spread
+
 #: The vocabulary's place on every machine; a parameter, as it is no part of this library.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging (a fixed value of that public vocabulary).
@@ -37,4 +39,4 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY, keep: tuple[str,
 
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(count, f"doc_id long, {kinds + ', ' if keep else ''}tokens long")
+    return spread(df).mapInArrow(count, f"doc_id long, {kinds + ', ' if keep else ''}tokens long")
