@@ -59,6 +59,12 @@ def guarded(value: Column, rules: Mapping[str, Column]) -> Column:
     return value
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``one``, a table of one row such as a total, on every row: a scalar subquery, not a join."""
+    whole = one.select(F.struct(*one.columns)).scalar().alias("_beside")
+    return df.select("*", whole).select(*df.columns, *(F.col(f"_beside.{c}").alias(c) for c in one.columns))
+
+
 def rounded(df: DataFrame, places: int = 6, keep: Sequence[str] = ()) -> DataFrame:
     """Every double column rounded, for comparison between engines."""
     return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))

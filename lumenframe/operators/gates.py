@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite, missing, number, stripped
+from ..functions.numbers import beside, finite, missing, number, stripped
 from ..schema import CANONICAL, EXPLORATORY_ROIS, ILLUMINATION, REFERENCE_TYPES, REQUIRED, ROIS, UNITS
 
 
@@ -212,7 +212,7 @@ def target_report(df: DataFrame, biomarker: str | None = None, unit: str | None
     base = passed(df, target_rules(biomarker, unit))
     ids = df.agg(F.count_distinct("reference_measurement_id").alias("n_reference_measurements"))
     again = repeated(df, "reference_measurement_id").agg(F.count("*").alias("n_repeated_references"))
-    out = base.join(F.broadcast(ids)).join(F.broadcast(again))
+    out = beside(beside(base, ids), again)
     return out.withColumn("valid", F.col("passed") & ((F.col("n_repeated_references") == 0) | F.lit(not unique))).drop("passed")
 
 
@@ -221,7 +221,7 @@ def external_partition(external: DataFrame, development: DataFrame, biomarker: s
     wrong = F.coalesce((F.col("biomarker") != biomarker) | (F.col("target_unit") != unit) | (F.col("dataset") != dataset), F.lit(True))
     base = external.agg(F.count("*").alias("n_records"), F.count_distinct("patient_id").alias("n_patients"), F.count_if(wrong).alias("n_mismatched"))
     shared = external.where("patient_id is not null").select("patient_id").distinct().join(development.select("patient_id").distinct(), "patient_id", "left_semi").agg(F.count("*").alias("n_shared_patients"))
-    return base.join(F.broadcast(shared)).withColumn("valid", (F.col("n_records") > 0) & (F.col("n_mismatched") == 0) & (F.col("n_shared_patients") == 0))
+    return beside(base, shared).withColumn("valid", (F.col("n_records") > 0) & (F.col("n_mismatched") == 0) & (F.col("n_shared_patients") == 0))
 
 
 def participant_preflight(df: DataFrame, modalities: Sequence[str] = ("conjunctiva", "fingernails_open", "fingernails_closed", "tongue")) -> DataFrame:

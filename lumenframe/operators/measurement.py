@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import as_col, finite, guarded, pearson, ratio
+from ..functions.numbers import as_col, beside, finite, guarded, pearson, ratio
 from ..functions.ordering import quantiles, running_total
 from ..plans.staging import written
 
@@ -148,13 +148,13 @@ def repeatability(df: DataFrame, value: str = "measurement_value", subject: str
         F.avg(F.when(more & (F.col("mean") != 0), 100 * F.col("sd") / F.abs("mean"))).alias("mean_within_subject_cv_percent"),
     ).withColumn("repeatability_coefficient", 2.77 * F.col("within_subject_sd"))
     names = each.agg(F.count_distinct("device").alias("n_devices"), F.min("device").alias("d0"), F.max("device").alias("d1"))
-    sides = each.join(F.broadcast(names), (F.col("device") == F.col("d0")) | (F.col("device") == F.col("d1"))).groupBy("subject").agg(
+    sides = beside(each, names).where("device = d0 or device = d1").groupBy("subject").agg(
         F.max(F.when(F.col("device") == F.col("d0"), F.col("mean"))).alias("a"), F.max(F.when(F.col("device") == F.col("d1"), F.col("mean"))).alias("b")
     )
     d = F.col("b") - F.col("a")
     low, high = _limits(d)
     between = sides.where("a is not null and b is not null").agg(F.count("*").alias("_k"), F.avg(d).alias("between_device_mean_bias"), F.stddev_samp(d).alias("between_device_sd"), low.alias("between_device_loa_low"), high.alias("between_device_loa_high"))
-    one = within.join(F.broadcast(names.select("n_devices"))).join(F.broadcast(between))
+    one = beside(beside(within, names.select("n_devices")), between)
     two = (F.col("n_devices") == 2) & (F.col("_k") >= 2)
     return one.select(*within.columns, "n_devices", *(F.when(two, F.col(c)).alias(c) for c in between.columns if c != "_k"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
 from ..plans.staging import written
 
@@ -137,7 +138,7 @@ def permutation_test(df: DataFrame, y: str, p: str, row_id: str, metric: str = "
     value = F.avg(F.abs(e)) if metric == "mae" else F.sqrt(F.avg(e * e))
     observed = placed.agg(value.alias("observed"))
     null = shuffled.join(placed.select("idx", "y"), "idx").groupBy("rep").agg(value.alias("v"))
-    out = null.join(F.broadcast(observed)).groupBy("observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_std"), ((1 + F.count_if(F.col("v") <= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p_value"))
+    out = beside(null, observed).groupBy("observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_std"), ((1 + F.count_if(F.col("v") <= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p_value"))
     return out.select(F.lit(metric).alias("metric"), "*", F.lit(permutations).alias("n_permutations"), F.lit(n).alias("n"))
 
 
@@ -151,14 +152,15 @@ def coverage_bootstrap(df: DataFrame, y: str, lower: str, upper: str, subject: s
     reps = draws(df.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg((F.sum(F.col("hit") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("v"))
     tail = (1 - confidence) / 2
     q = reps.agg(F.expr(f"percentile(v, array({tail!r}, {1 - tail!r}))").alias("q"))
-    return placed.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_subjects"), (F.sum("hit") / F.sum("n")).alias("observed_coverage")).join(F.broadcast(q)).select("n_rows", "n_subjects", "observed_coverage", F.col("q")[0].alias("coverage_ci_low"), F.col("q")[1].alias("coverage_ci_high"))
+    total = placed.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_subjects"), (F.sum("hit") / F.sum("n")).alias("observed_coverage"))
+    return beside(total, q).select("n_rows", "n_subjects", "observed_coverage", F.col("q")[0].alias("coverage_ci_low"), F.col("q")[1].alias("coverage_ci_high"))
 
 
 def interval_calibration(df: DataFrame, y: str, lower: str, upper: str, alpha: float, subject: str, **how) -> DataFrame:
     """Nominal against observed coverage of intervals, with widths and a subject bootstrap of the coverage."""
     width = F.col(upper) - F.col(lower)
     widths = df.agg(F.avg(width).alias("mean_width"), F.median(width).alias("median_width"))
-    c = coverage_bootstrap(df, y, lower, upper, subject, **how).join(F.broadcast(widths))
+    c = beside(coverage_bootstrap(df, y, lower, upper, subject, **how), widths)
     return c.withColumns({"nominal_coverage": F.lit(1 - alpha), "coverage_error": F.col("observed_coverage") - F.lit(1 - alpha), "miss_rate": 1 - F.col("observed_coverage")})
 
 
@@ -179,6 +181,6 @@ def split_conformal(df: DataFrame, y: str, p: str, alpha: float = 0.10) -> DataF
 
 def predict_interval(df: DataFrame, p: str, model: DataFrame) -> DataFrame:
     """Bounds around ``p``; ``model`` is one row."""
-    return df.join(F.broadcast(model.select("quantile"))).withColumns({"lower": F.col(p) - F.col("quantile"), "upper": F.col(p) + F.col("quantile")}).drop("quantile")
+    return beside(df, model.select("quantile")).withColumns({"lower": F.col(p) - F.col("quantile"), "upper": F.col(p) + F.col("quantile")}).drop("quantile")
 
 

@@ -22,8 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder."""
+    _MADE.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what this process wrote to fresh paths, once no result that reads it is needed any more; returns how many."""
+    done = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def spread(df: DataFrame) -> DataFrame:
