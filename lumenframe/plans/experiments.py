@@ -146,7 +146,20 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (linear_baselines, tree_baselines, nested_selection, affine_calibration, conformal_experiment, gate_checks, benchmark_report)}
-SQL: dict[str, str] = {}
+
+
+def _gate_sql() -> str:
+    from . import tabular as t
+
+    mismatch = {"biomarker_mismatch": (f"{t._TFIELDS} and {t._low('biomarker')} <> 'hemoglobin'", "error"), "unit_mismatch": (f"{t._TFIELDS} and regexp_replace(target_unit, '^\\s+|\\s+$', '', 'g') <> 'g/dL'", "error")}
+    regions = {k: v for k, v in t._CANON.items() if k.startswith("roi_")}
+    sets = ({**t._TARGET, **mismatch}, regions, {k: v for k, v in t._ACQ.items() if v[1] == "error"}, t._IDENT)
+    counts = " union all ".join(f"select '{name}' as \"check\", count(*) filter ({cond}) as n from captures" for rules in sets for name, (cond, _) in rules.items())
+    overlaps = t.SQL["overlap_counts"]
+    return f"{counts} union all select concat_ws('__', 'overlap', kind, a, b), n from ({overlaps})"
+
+
+SQL = {"gate_checks": _gate_sql()}
 
 
 def flagship_dict(train: DataFrame, calibration: DataFrame, test: DataFrame, features: Sequence[str], **how) -> dict:
