@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
+from ..functions.slopes import median_slope
 from ..plans.staging import written
 
 
@@ -93,27 +94,28 @@ def agreement_bootstrap(pairs: DataFrame, **how) -> DataFrame:
     return bootstrap(sums(pairs, "r", "m", ["subject"]), ["subject"], ("bias", "mae", "rmse", "loa_low", "loa_high"), **how)
 
 
-def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, most_units: int = 20_000) -> DataFrame:
+def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, most_units: int | None = None) -> DataFrame:
     """Intervals of Deming and median-of-slopes coefficients over subjects.
 
-    A median of slopes has no sufficient statistics: each replicate's subjects meet in one task, so their number is checked against ``most_units``.
+    A median of slopes has no sufficient statistics: each replicate's subjects meet in one task, whose memory is linear in
+    their number, as slopes are counted and not built. More than ``most_units`` subjects fail only where a caller sets it.
     """
     placed = written(indexed(pairs.select("subject", "r", "m"), ["subject"]), "units")
     n = placed.count()
-    if not 3 <= n <= most_units:
-        raise ValueError(f"between 3 and {most_units} subjects are required")
+    if n < 3:
+        raise ValueError("at least 3 subjects are required")
+    if most_units is not None and n > most_units:
+        raise ValueError(f"at most {most_units} subjects are allowed")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         times = pdf["times"].to_numpy()
         x, y = np.repeat(pdf["r"].to_numpy(), times), np.repeat(pdf["m"].to_numpy(), times)
+        slope = median_slope(pdf["r"].to_numpy(), pdf["m"].to_numpy(), times)
         sxx, syy, sxy = x.var(ddof=1), y.var(ddof=1), np.cov(x, y)[0, 1]
-        if sxx == 0 or sxy == 0:
+        if sxx == 0 or sxy == 0 or np.isnan(slope):
             return pd.DataFrame({"rep": [], "deming_slope": [], "deming_intercept": [], "passing_bablok_slope": [], "passing_bablok_intercept": []}).astype({"rep": "int64"})
         d = syy - sxx
         deming = (d + np.sqrt(d * d + 4 * sxy * sxy)) / (2 * sxy)
-        i, j = np.triu_indices(len(x), 1)
-        use = x[i] != x[j]
-        slope = float(np.median((y[j] - y[i])[use] / (x[j] - x[i])[use]))
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "deming_slope": [deming], "deming_intercept": [y.mean() - deming * x.mean()], "passing_bablok_slope": [slope], "passing_bablok_intercept": [float(np.median(y - slope * x))]})
 
     names = ("deming_slope", "deming_intercept", "passing_bablok_slope", "passing_bablok_intercept")

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from lumenframe.functions.slopes import median_slope
 from lumenframe.operators import resampling as r
 from tests.conftest import one
 
@@ -66,3 +67,32 @@ def test_slope_bootstrap(spark, pairs):
     assert set(got) == {"deming_slope", "deming_intercept", "passing_bablok_slope", "passing_bablok_intercept"} and got["deming_slope"]["lower"] <= got["deming_slope"]["upper"]
     with pytest.raises(ValueError):
         r.slope_bootstrap(pairs, most_units=3)
+
+
+def brute_slope(x, y, times):
+    x, y = np.repeat(x, times), np.repeat(y, times)
+    i, j = np.triu_indices(len(x), 1)
+    use = x[i] != x[j]
+    return np.median((y[j] - y[i])[use] / (x[j] - x[i])[use]) if use.any() else np.nan
+
+
+def test_median_slope_matches_all_pairs():
+    for seed in range(60):
+        g = np.random.default_rng(seed)
+        n = int(g.integers(2, 300))
+        x = g.integers(0, 5, n) * 1.0 if seed % 5 == 0 else g.normal(25, 0.5, n)
+        y = x + g.normal(0, 0.1, n) if seed % 3 else np.round(x, 1)
+        times = g.integers(1, 4, n)
+        assert median_slope(x, y, times, few=1, sample=64, chunk=1000) == pytest.approx(brute_slope(x, y, times), rel=1e-12, nan_ok=True)
+
+
+def test_slope_bootstrap_matches_numpy(spark, pairs):
+    got = {x["metric"]: x for x in r.slope_bootstrap(pairs, replicates=50).collect()}
+    slopes = [brute_slope(np.array(Y)[d], np.array(P)[d], 1) for d in (drawn(42, k, 6) for k in range(50)) if len(set(d)) > 1]
+    assert (got["passing_bablok_slope"]["lower"], got["passing_bablok_slope"]["upper"]) == pytest.approx(tuple(np.quantile(slopes, [0.025, 0.975])))
+
+
+def test_slope_bootstrap_of_more_than_20000_subjects(spark):
+    many = spark.range(20_001).selectExpr("id as subject", "id / 1000D as r", "2 * id / 1000D + pmod(xxhash64(id), 1000) / 1000D as m")
+    got = {x["metric"]: x for x in r.slope_bootstrap(many, replicates=4).collect()}
+    assert got["passing_bablok_slope"]["n_defined"] == 4 and got["passing_bablok_slope"]["lower"] == pytest.approx(2, abs=0.01)
