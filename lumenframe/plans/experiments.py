@@ -142,7 +142,7 @@ def gate_checks(spark: SparkSession, d: str) -> DataFrame:
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     """Errors of a fixed linear reading of captures, with intervals over patients."""
     f = _features(spark, d).where("split_name = 'test'").withColumn("prediction", F.expr("20 * f3 - 20")).withColumn("image_id", F.col("record_id"))
-    return rounded(benchmark(f, "target_value", "prediction", n_bootstrap=200, n_permutations=50))
+    return rounded(benchmark(f, "target_value", "prediction"))
 
 
 QUERIES = {f.__name__: f for f in (linear_baselines, tree_baselines, nested_selection, affine_calibration, conformal_experiment, gate_checks, benchmark_report)}

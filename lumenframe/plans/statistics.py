@@ -11,7 +11,7 @@ from ..operators import resampling as r
 from ..sources.tables import table
 from .staging import written
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:

@@ -96,3 +96,31 @@ def test_slope_bootstrap_of_more_than_20000_subjects(spark):
     many = spark.range(20_001).selectExpr("id as subject", "id / 1000D as r", "2 * id / 1000D + pmod(xxhash64(id), 1000) / 1000D as m")
     got = {x["metric"]: x for x in r.slope_bootstrap(many, replicates=4).collect()}
     assert got["passing_bablok_slope"]["n_defined"] == 4 and got["passing_bablok_slope"]["lower"] == pytest.approx(2, abs=0.01)
+
+
+def test_registered_queries_take_2000_replicates(spark, small):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    for name in ("row_bootstrap", "cluster_bootstrap", "agreement_bootstrap", "benchmark_report"):
+        assert {x["n_bootstrap"] for x in q[name](spark, small).collect()} == {2000}
+    assert {x["n_defined"] for x in q["slope_bootstrap"](spark, small).collect()} == {2000}
+    p = one(q["permutation_test"](spark, small))
+    assert p["n_permutations"] == 2000 and round(p["p_value"] * 2001) == pytest.approx(p["p_value"] * 2001, abs=0.01)
+    tests = [x["p_value"] for x in q["benchmark_report"](spark, small).collect() if x["p_value"] is not None]
+    assert len(tests) == 2 and min(tests) < 1 / 51
+
+
+def test_registered_bootstraps_match_their_sql(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{small}/lineitem.parquet'")
+    for name in ("row_bootstrap", "cluster_bootstrap", "agreement_bootstrap", "interval_calibration", "permutation_test"):
+        df = entry.queries()[name](spark, small)
+        want = duck.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+        got = sorted(map(tuple, df.collect()), key=repr)
+        assert len(got) == len(want)
+        for a, b in zip(got, sorted(want, key=repr), strict=True):
+            assert a == pytest.approx(b, abs=2e-6)
