@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..streaming.drift import session_means, written_stream
+from ..streaming.drift import last_states, session_means
 from .staging import fresh_path
 
 
@@ -21,15 +21,9 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def _end(spark: SparkSession, df: DataFrame, schema: str) -> DataFrame:
-    out = fresh_path(spark, "stream")
-    written_stream(df, out, fresh_path(spark, "stream-checkpoint"))
-    return spark.read.schema(schema).parquet(out)
-
-
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Daily means of events; the last days stay open until later rows arrive."""
-    return rounded(_end(spark, session_means(_stream(spark, d, "events")), "session timestamp, n long, mean double, sd double"))
+    """Daily means of events, with those of the days still open where the source ends."""
+    return rounded(last_states(session_means(_stream(spark, d, "events")), ["session"], fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")))
 
 
 QUERIES = {"stream_sessions": stream_sessions}

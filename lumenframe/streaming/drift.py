@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def session_means(stream: DataFrame, time: str = "ts", value: str = "value", every: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -27,3 +28,19 @@ def drained(df: DataFrame, spark: SparkSession, name: str, mode: str = "append")
 def written_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """A bounded stream into Parquet files, exactly once."""
     df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def last_states(df: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """The last state of each key of a bounded stream's aggregate, open windows too: a batch writes the rows it changed, and the latest of a key counts.
+
+    A batch that is run again overwrites its own folder, so its rows count once.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    spark = df.sparkSession
+    put(spark.createDataFrame([], df.schema), -1)  # for a source without rows
+    df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
+    return states.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), "batch").alias("last")).select(*keys, "last.*")

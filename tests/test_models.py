@@ -125,3 +125,35 @@ def test_entry_has_every_core_query(spark, small):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(q) > 70
     assert one(entry.entry(spark))["n_pairs"] > 0
+
+
+def test_stream_sessions_keep_the_last_days(spark, folder):
+    from datetime import datetime
+
+    import __spark_entry__ as entry
+
+    rows = [(datetime(2024, 1, d, 5), float(v)) for d, v in ((1, 1), (1, 3), (2, 2), (3, 3), (9, 5), (9, 7), (10, 4))]
+    d = folder(events=spark.createDataFrame(rows, "ts timestamp, value double"))
+    got = {r["session"].day: (r["n"], r["mean"]) for r in entry.queries()["stream_sessions"](spark, d).collect()}
+    assert got == {1: (2, 2.0), 2: (1, 2.0), 3: (1, 3.0), 9: (2, 6.0), 10: (1, 4.0)}
+    assert entry.queries()["stream_sessions"](spark, folder_of_no_rows(spark, d)).count() == 0
+
+
+def folder_of_no_rows(spark, d):
+    spark.read.parquet(f"{d}/events.parquet").limit(0).write.parquet(f"{d}/none/events.parquet")
+    return f"{d}/none"
+
+
+def test_last_states_over_batches(spark, tmp_path):
+    """A window that grows over two batches is there once, as it is in the end."""
+    from datetime import datetime
+
+    from lumenframe.streaming.drift import last_states
+
+    src = [spark.createDataFrame([(datetime(2024, 1, d, 5), float(d + k)) for d in days], "ts timestamp, value double") for k, days in ((0, (1, 2)), (1, (2, 3)))]
+    for s in src:
+        s.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = last_states(session_means(stream), ["session"], str(tmp_path / "out"), str(tmp_path / "at"))
+    assert got.columns == ["session", "n", "mean", "sd"]
+    assert {r["session"].day: (r["n"], r["mean"]) for r in got.collect()} == {1: (1, 1.0), 2: (2, 2.5), 3: (1, 4.0)}
