@@ -107,13 +107,11 @@ def linear_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_baselines(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d)
-    learners = models.tree_learners(trees=20, rounds=20)
-    learners["random_forest"].setMaxDepth(8)
-    return rounded(models.fit_and_evaluate(f.where("split_name = 'train'"), f.where("split_name = 'test'"), FEATURES, "target_value", ("random_forest", "gradient_boosting"), learners))
+    return rounded(models.fit_and_evaluate(f.where("split_name = 'train'"), f.where("split_name = 'test'"), FEATURES, "target_value", ("random_forest", "gradient_boosting")))
 
 
 def nested_selection(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.nested_group_cv(_features(spark, d), FEATURES, "target_value", "patient_id", outer=3, inner=2))
+    return rounded(models.nested_group_cv(_features(spark, d), FEATURES, "target_value", "patient_id"))
 
 
 def affine_calibration(spark: SparkSession, d: str) -> DataFrame:

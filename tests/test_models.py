@@ -157,3 +157,14 @@ def test_last_states_over_batches(spark, tmp_path):
     got = last_states(session_means(stream), ["session"], str(tmp_path / "out"), str(tmp_path / "at"))
     assert got.columns == ["session", "n", "mean", "sd"]
     assert {r["session"].day: (r["n"], r["mean"]) for r in got.collect()} == {1: (1, 1.0), 2: (2, 2.5), 3: (1, 4.0)}
+
+
+def test_registered_models_have_the_operators_sizes(spark, small, monkeypatch):
+    from lumenframe.plans import experiments
+
+    seen = {}
+    monkeypatch.setattr(experiments.models, "fit_and_evaluate", lambda *a: seen.update(learners=a[5] if len(a) > 5 else experiments.models.tree_learners()) or spark.range(1))
+    experiments.tree_baselines(spark, small)
+    forest, boosting = seen["learners"]["random_forest"], seen["learners"]["gradient_boosting"]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosting.getMaxIter()) == (300, 30, 200)
+    assert experiments.nested_selection(spark, small).count() == 5
