@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,40 +36,66 @@ def running_total(df: DataFrame, keys: Sequence[str], weight: str, name: str) ->
     return s.withColumn(name, inside).join(starts, "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
 
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], width: int = 4096, small: int = 100_000) -> list[float]:
-    """The values at ``ranks`` (from 0) of a numeric column without nulls.
+ACCURACY = 10_000
 
-    Each pass counts the values of ``width`` equal steps between the bounds that still hold a rank, and only that step
-    is looked at in the next, until few values are left: the driver gets counts, then at most ``small`` values a rank.
+
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], small: int = 100_000) -> list[float]:
+    """The values at ``ranks`` (from 0) of a numeric column without nulls, exactly; infinities are values like others, NaN fails.
+
+    While many values may hold a rank, approximate percentiles a little below and above it bound it, and the values below, at
+    and between the bounds are counted. Each round serves all ranks and leaves about 1 in ACCURACY / 4 of the values, whatever
+    their scale; bounds are values themselves, so that each round leaves fewer. The driver gets counts, then at most ``small`` values a rank.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    out = []
-    for rank in ranks:
-        if not n or not 0 <= rank < n:
-            raise ValueError("rank out of range")
-        a, b, k, held = low, high, rank, n
-        while held > small and a < b:
-            step = (b - a) / width
-            if step == 0 or a + step == a:
-                break
-            part = F.least(F.floor((F.col("x") - a) / step), F.lit(width - 1))
-            counts = x.where((F.col("x") >= a) & (F.col("x") <= b)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("part").collect()
-            for c in counts:
-                if k < c["n"]:
-                    a, b, held = c["low"], c["high"], c["n"]
-                    break
-                k -= c["n"]
-        if a == b:
-            out.append(a)
-        else:
-            same = x.where((F.col("x") >= a) & (F.col("x") <= b)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
-            for c in same:
-                if k < c["n"]:
-                    out.append(c["x"])
-                    break
-                k -= c["n"]
-    return out
+    n, odd = x.agg(F.count("*"), F.count_if(F.isnan("x"))).first()
+    if odd:
+        raise ValueError("values must be numbers")
+    if not n or not all(0 <= r < n for r in ranks):
+        raise ValueError("rank out of range")
+    if n > small:
+        x = written(x, "values")
+    done: dict[int, float] = {}
+    # rank -> (the values strictly between these, null for no bound; the rank among them; their number)
+    left: dict[int, tuple[float | None, float | None, int, int]] = {r: (None, None, r, n) for r in ranks}
+
+    def between(a: float | None, b: float | None) -> Column:
+        return (F.lit(True) if a is None else F.col("x") > a) & (F.lit(True) if b is None else F.col("x") < b)
+
+    while left:
+        wide = {r: v for r, v in left.items() if v[3] > small}
+        if wide:
+            near = lambda v, by: min(1.0, max(0.0, (v[2] + 0.5) / v[3] + by / ACCURACY))
+            ends = x.agg(*(F.percentile_approx(F.when(between(*v[:2]), F.col("x")), [near(v, -2), near(v, 2)], ACCURACY).alias(str(r)) for r, v in wide.items())).first()
+            inside = {r: between(*v[:2]) for r, v in wide.items()}
+            counts = x.agg(*(F.struct(F.count_if(inside[r] & (F.col("x") < a)), F.count_if(F.col("x") == a), F.count_if((F.col("x") > a) & (F.col("x") < b)), F.count_if(F.col("x") == b)).alias(str(r)) for r in wide for a, b in [ends[str(r)]])).first()
+            for r, (a, b, k, held) in wide.items():
+                low, high = ends[str(r)]
+                below, at_low, mid, at_high = counts[str(r)]
+                k -= below
+                if 0 <= k < at_low:
+                    done[r] = low
+                elif k < 0:
+                    left[r] = (a, low, k + below, below)
+                elif (k := k - at_low) < mid:
+                    left[r] = (low, high, k, mid)
+                elif (k := k - mid) < at_high and high > low:
+                    done[r] = high
+                else:
+                    k -= at_high if high > low else 0
+                    left[r] = (high, b, k, held - below - at_low - mid - (at_high if high > low else 0))
+        few = {r: v for r, v in left.items() if v[3] <= small and r not in done}
+        for a, b in dict.fromkeys(v[:2] for v in few.values()):
+            same = [tuple(c) for c in x.where(between(a, b)).groupBy("x").agg(F.count("*").alias("n")).collect()]
+            same.sort()
+            for r, v in few.items():
+                k = v[2]
+                for value, m in same if v[:2] == (a, b) else ():
+                    if k < m:
+                        done[r] = value
+                        break
+                    k -= m
+        left = {r: v for r, v in left.items() if r not in done}
+    return [done[r] for r in ranks]
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
@@ -80,4 +106,5 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     at = [s * (n - 1) for s in shares]
     ranks = sorted({r for p in at for r in (int(p), min(int(p) + 1, n - 1))})
     value = dict(zip(ranks, order_statistics(df, column, ranks), strict=True))
-    return [value[int(p)] + (value[min(int(p) + 1, n - 1)] - value[int(p)]) * (p - int(p)) for p in at]
+    pairs = [(value[int(p)], value[min(int(p) + 1, n - 1)], p - int(p)) for p in at]
+    return [low if low == high or not part else low + (high - low) * part for low, high, part in pairs]

@@ -59,14 +59,14 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (), mo
 def bland_altman(df: DataFrame, y: str, p: str) -> DataFrame:
     e = F.col(p) - F.col(y)
     low, high = _limits(e)
-    out = df.agg(F.count("*").alias("n"), F.avg(e).alias("bias"), low, high)
-    return out.withColumn("bias", guarded(F.col("bias"), {"at least two pairs are required": F.col("n") < 2}))
+    out = df.agg(F.count("*").alias("n"), F.avg(e).alias("bias"), low, high, F.count_if(~(finite(y) & finite(p))).alias("_bad"))
+    return out.withColumn("bias", guarded(F.col("bias"), {"values must be finite numbers": F.col("_bad") > 0, "at least two pairs are required": F.col("n") < 2})).drop("_bad")
 
 
 def coverage_under_uncertainty(df: DataFrame, y: str, p: str, u: str, z: float = Z) -> DataFrame:
     inside = F.abs(F.col(y) - F.col(p)) <= z * F.col(u)
-    out = df.agg(F.avg(inside.cast("double")).alias("coverage"), F.count_if(F.col(u) < 0).alias("_bad"))
-    return out.select(guarded(F.col("coverage"), {"uncertainty must not be negative": F.col("_bad") > 0}).alias("coverage"))
+    out = df.agg(F.avg(inside.cast("double")).alias("coverage"), F.count_if(F.col(u) < 0).alias("_bad"), F.count_if(~(finite(y) & finite(p) & finite(u))).alias("_odd"))
+    return out.select(guarded(F.col("coverage"), {"values must be finite numbers": F.col("_odd") > 0, "uncertainty must not be negative": F.col("_bad") > 0}).alias("coverage"))
 
 
 def grouped_regression(df: DataFrame, y: str, p: str, group: str) -> DataFrame:
@@ -294,7 +294,7 @@ def method_comparison(df: DataFrame, reference: str = "reference_value", measure
     """Deming and median-of-slopes regression of subject means."""
     pairs = written(paired(df, reference, measurement, subject), "pairs")
     slope = pairwise_slope_median(pairs)
-    base = pairs.agg(guarded(F.sum("n_rows"), _rules(3)).cast("long").alias("n_rows"), F.count("*").alias("n_pairs"), F.avg("r").alias("mean_reference"), F.avg("m").alias("mean_measurement"), *deming("r", "m", variance_ratio), F.median(F.col("m") - F.lit(slope) * F.col("r")).alias("passing_bablok_intercept"))
+    base = pairs.agg(guarded(F.sum("n_rows"), _rules(3)).cast("long").alias("n_rows"), F.count("*").alias("n_pairs"), F.avg("r").alias("mean_reference"), F.avg("m").alias("mean_measurement"), *deming("r", "m", variance_ratio), F.lit(median(pairs, F.col("m") - F.lit(slope) * F.col("r"))).alias("passing_bablok_intercept"))
     return base.withColumns({"passing_bablok_slope": F.lit(slope), "variance_ratio": F.lit(variance_ratio)})
 
 
@@ -312,10 +312,15 @@ def device_robustness(source: DataFrame, held_out: DataFrame, key: str = "model"
     return out.withColumns({f"{c}_relative_change": relative_mae_change(F.col(f"{c}_source"), F.col(f"{c}_held_out")) for c in metrics}).orderBy("mae_held_out")
 
 
+def median(df: DataFrame, value: Column) -> float | None:
+    """The exact median of all rows, from counts; null without values."""
+    return next(iter(quantiles(df.select(value.alias("v")), "v", [0.5])), None)
+
+
 def interval_metrics(df: DataFrame, y: str, lower: str, upper: str) -> DataFrame:
     """Coverage of closed intervals, and their mean and median width."""
     width = F.col(upper) - F.col(lower)
-    out = df.agg(F.count("*").alias("n"), F.avg(F.col(y).between(F.col(lower), F.col(upper)).cast("double")).alias("coverage"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"), F.count_if(width < 0).alias("_bad"))
+    out = df.agg(F.count("*").alias("n"), F.avg(F.col(y).between(F.col(lower), F.col(upper)).cast("double")).alias("coverage"), F.avg(width).alias("mean_width"), F.lit(median(df, width)).alias("median_width"), F.count_if(width < 0).alias("_bad"))
     return out.withColumn("coverage", guarded(F.col("coverage"), {"lower bounds must not exceed upper bounds": F.col("_bad") > 0, "values must not be empty": F.col("n") == 0})).drop("_bad")
 
 

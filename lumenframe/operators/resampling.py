@@ -2,8 +2,8 @@
 
 Draws are functions of a seed, the replicate and the position, so that any engine and any partitioning gives the same
 ones: ``draw`` is the first 32 bits of md5('seed-replicate-position') modulo the number of units. Units (rows,
-subjects or clusters) are first reduced to sufficient statistics, which a draw weights by how often it takes
-them; rows are never copied. Empty or too small inputs fail; replicates whose metric can't be computed are null
+subjects or clusters) are first reduced to sufficient statistics, which draws add up within tasks before anything
+moves; rows are never copied. Empty or too small inputs fail; replicates whose metric can't be computed are null
 and left out, and too few left make the interval null.
 """
 
@@ -21,6 +21,7 @@ from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
 from ..functions.slopes import median_slope
 from ..plans.staging import written
+from .measurement import median
 
 
 def draw(seed: int, rep: Column, position: Column, units: int) -> Column:
@@ -29,9 +30,9 @@ def draw(seed: int, rep: Column, position: Column, units: int) -> Column:
 
 
 def draws(spark: SparkSession, units: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, idx, times): how often each replicate takes each unit, for replicates 0 to ``replicates`` - 1."""
-    each = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("position"))
-    return each.select("rep", draw(seed, F.col("rep"), F.col("position"), units).alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("times"))
+    """(rep, idx): the unit that each draw of each replicate takes, for replicates 0 to ``replicates`` - 1. Draws are numbered through, so that any range of them is made where it is used."""
+    each = spark.range(replicates * units).select(F.expr(f"id div {units}").alias("rep"), (F.col("id") % units).alias("position"))
+    return each.select("rep", draw(seed, F.col("rep"), F.col("position"), units).alias("idx"))
 
 
 def sums(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def bootstrap(units: DataFrame, keys: Sequence[str], metrics: Sequence[str], rep
     if n_units < 2:
         raise ValueError("at least two units are required")
     total = placed.agg(*(F.sum(c).alias(c) for c in SUMS)).select(*(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
-    reps = draws(units.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in SUMS)).select("rep", *(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
+    reps = draws(units.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg(*(F.sum(c).alias(c) for c in SUMS)).select("rep", *(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
     tail = (1 - confidence) / 2
     long = lambda df, *keep: df.select(*keep, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select(*keep, "x.metric", "x.v")
     spread = long(reps, "rep").groupBy("metric").agg(F.expr(f"percentile(v, array({tail!r}, {1 - tail!r}))").alias("q"), F.count("v").alias("defined"))
@@ -119,29 +120,47 @@ def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, mo
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "deming_slope": [deming], "deming_intercept": [y.mean() - deming * x.mean()], "passing_bablok_slope": [slope], "passing_bablok_intercept": [float(np.median(y - slope * x))]})
 
     names = ("deming_slope", "deming_intercept", "passing_bablok_slope", "passing_bablok_intercept")
-    reps = draws(pairs.sparkSession, n, replicates, seed).join(placed, "idx").groupBy("rep").applyInPandas(fit, "rep long, " + ", ".join(f"{c} double" for c in names))
+    taken = draws(pairs.sparkSession, n, replicates, seed).groupBy("rep", "idx").agg(F.count("*").alias("times"))
+    reps = taken.join(placed, "idx").groupBy("rep").applyInPandas(fit, "rep long, " + ", ".join(f"{c} double" for c in names))
     long = reps.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names))).alias("x")).select("x.metric", "x.v")
     return long.groupBy("metric").agg(F.expr("percentile(v, array(0.025, 0.975))").alias("q"), F.count("v").alias("n_defined")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "n_defined")
 
 
-def permutation_test(df: DataFrame, y: str, p: str, row_id: str, metric: str = "mae", permutations: int = 2000, seed: int = 42) -> DataFrame:
-    """The error against that of predictions shuffled among rows; the null hypothesis is an error as small by chance.
+PER_RANGE = 100_000
+
+
+def permutation_tests(df: DataFrame, y: str, p: str, row_id: str, metrics: Sequence[str] = ("mae", "rmse"), permutations: int = 2000, seed: int = 42) -> DataFrame:
+    """The error against that of predictions shuffled among rows; the null hypothesis is an error as small by chance. All metrics from one set of permutations.
 
-    In each permutation predictions are ranked by a hash of replicate and row, and the k-th goes to the k-th row.
+    In each permutation predictions are ranked by a hash of replicate and row, and the k-th goes to the k-th row. Ranks are
+    counted within ranges of the hash of about PER_RANGE rows, so that no task holds all rows of a permutation.
     """
     placed = written(indexed(df.select(F.col(row_id).alias("row_id"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")), ["row_id"]), "rows")
     n = placed.count()
     if n < 2:
         raise ValueError("at least two rows are required")
+    ranges = -(-n // PER_RANGE)
     reps = placed.select("idx", "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string")).cast("binary"))
-    shuffled = reps.select("rep", "p", (F.row_number().over(W.partitionBy("rep").orderBy(key, "idx")) - 1).cast("long").alias("idx"))
+    reps = reps.withColumn("key", key).withColumn("part", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32))
+    within = F.row_number().over(W.partitionBy("rep", "part").orderBy("key", "idx")) - 1
+    ranked = reps.select("rep", "part", "p", within.cast("long").alias("idx"))
+    if ranges > 1:
+        held = reps.groupBy("rep", "part").agg(F.count("*").alias("held"))
+        starts = held.select("rep", "part", F.coalesce(F.sum("held").over(W.partitionBy("rep").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        ranked = ranked.join(starts, ["rep", "part"]).select("rep", "p", (F.col("idx") + F.col("start")).alias("idx"))
     e = F.col("p") - F.col("y")
-    value = F.avg(F.abs(e)) if metric == "mae" else F.sqrt(F.avg(e * e))
-    observed = placed.agg(value.alias("observed"))
-    null = shuffled.join(placed.select("idx", "y"), "idx").groupBy("rep").agg(value.alias("v"))
-    out = beside(null, observed).groupBy("observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_std"), ((1 + F.count_if(F.col("v") <= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p_value"))
-    return out.select(F.lit(metric).alias("metric"), "*", F.lit(permutations).alias("n_permutations"), F.lit(n).alias("n"))
+    value = {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e))}
+    observed = placed.agg(*(value[m].alias(f"observed_{m}") for m in metrics))
+    null = ranked.join(placed.select("idx", "y"), "idx").groupBy("rep").agg(*(value[m].alias(m) for m in metrics))
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"observed_{m}").alias("observed"), F.col(m).alias("v")) for m in metrics))
+    long = beside(null, observed).select(F.explode(each).alias("x")).select("x.*")
+    out = long.groupBy("metric", "observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_std"), ((1 + F.count_if(F.col("v") <= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p_value"))
+    return out.select("*", F.lit(permutations).alias("n_permutations"), F.lit(n).alias("n"))
+
+
+def permutation_test(df: DataFrame, y: str, p: str, row_id: str, metric: str = "mae", permutations: int = 2000, seed: int = 42) -> DataFrame:
+    return permutation_tests(df, y, p, row_id, (metric,), permutations, seed)
 
 
 def coverage_bootstrap(df: DataFrame, y: str, lower: str, upper: str, subject: str, replicates: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
@@ -151,7 +170,7 @@ def coverage_bootstrap(df: DataFrame, y: str, lower: str, upper: str, subject: s
     n_units = placed.count()
     if n_units < 2:
         raise ValueError("at least two subjects are required")
-    reps = draws(df.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg((F.sum(F.col("hit") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("v"))
+    reps = draws(df.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg((F.sum("hit") / F.sum("n")).alias("v"))
     tail = (1 - confidence) / 2
     q = reps.agg(F.expr(f"percentile(v, array({tail!r}, {1 - tail!r}))").alias("q"))
     total = placed.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_subjects"), (F.sum("hit") / F.sum("n")).alias("observed_coverage"))
@@ -161,7 +180,7 @@ def coverage_bootstrap(df: DataFrame, y: str, lower: str, upper: str, subject: s
 def interval_calibration(df: DataFrame, y: str, lower: str, upper: str, alpha: float, subject: str, **how) -> DataFrame:
     """Nominal against observed coverage of intervals, with widths and a subject bootstrap of the coverage."""
     width = F.col(upper) - F.col(lower)
-    widths = df.agg(F.avg(width).alias("mean_width"), F.median(width).alias("median_width"))
+    widths = df.agg(F.avg(width).alias("mean_width"), F.lit(median(df, width)).alias("median_width"))
     c = beside(coverage_bootstrap(df, y, lower, upper, subject, **how), widths)
     return c.withColumns({"nominal_coverage": F.lit(1 - alpha), "coverage_error": F.col("observed_coverage") - F.lit(1 - alpha), "miss_rate": 1 - F.col("observed_coverage")})
 

@@ -46,8 +46,8 @@ class ExperimentConfig:
 def benchmark(df: DataFrame, y: str, p: str, patient: str = "patient_id", row_id: str = "image_id", n_bootstrap: int = 2000, n_permutations: int = 2000, seed: int = 42) -> DataFrame:
     """(metric, estimate, lower, upper, p_value): error metrics with patient bootstrap intervals, one set of draws for all, and permutation tests of mae and rmse."""
     ci = resampling.cluster_bootstrap(df, y, p, patient, replicates=n_bootstrap, seed=seed)
-    tests = resampling.permutation_test(df, y, p, row_id, "mae", n_permutations, seed).union(resampling.permutation_test(df, y, p, row_id, "rmse", n_permutations, seed)).select("metric", "p_value")
-    return ci.join(F.broadcast(tests), "metric", "left").select("metric", "estimate", "lower", "upper", "p_value", "n_units", "n_bootstrap")
+    tests = resampling.permutation_tests(df, y, p, row_id, ("mae", "rmse"), n_permutations, seed).select("metric", "p_value")
+    return ci.join(tests, "metric", "left").select("metric", "estimate", "lower", "upper", "p_value", "n_units", "n_bootstrap")
 
 
 def gate_report(partitions: DataFrame, partition: str, biomarker: str, unit: str) -> DataFrame:

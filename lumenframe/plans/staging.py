@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a session on one machine, as in tests, gets a temporary one, which goes with the process; on a cluster that fails."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if (own := sc._jsc.sc().getCheckpointDir()).isDefined():
             return own.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)

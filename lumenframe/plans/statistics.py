@@ -84,7 +84,8 @@ def acquisition_perturbation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeatability(spark: SparkSession, d: str) -> DataFrame:
-    return one(m.repeatability(events(spark, d).where("device_model in ('view', 'click')")))
+    """Users' repeats of events; two devices are told apart by whether a user went further than looking."""
+    return one(m.repeatability(events(spark, d).withColumn("device_model", F.when(F.col("device_model").isin("view", "click"), "look").otherwise("act"))))
 
 
 def temporal_stability(spark: SparkSession, d: str) -> DataFrame:
@@ -235,8 +236,8 @@ pr as (select patient_id, avg(rv) as r, avg(mv) as m, count(*) as k from c group
     "acquisition_perturbation": f"""with {_EV}, s as (select patient_id, device_model as condition, avg(v) as v from ev group by all)
 select a.condition, count(*) as n_pairs, round(avg(a.v - b.v), 6) as mean_bias, round(stddev_samp(a.v - b.v), 6) as sd_bias, round(100 * avg(a.v - b.v) / nullif(abs(avg(b.v)), 0), 6) as relative_bias_percent, round(avg(a.v - b.v) - 1.96 * stddev_samp(a.v - b.v), 6) as loa_low, round(avg(a.v - b.v) + 1.96 * stddev_samp(a.v - b.v), 6) as loa_high
 from s a join s b on a.patient_id = b.patient_id and b.condition = 'view' where a.condition <> 'view' group by 1""",
-    "repeatability": f"""with {_EV}, e as (select * from ev where device_model in ('view', 'click')), s as (select patient_id, count(*) as n, avg(v) as mean, stddev_samp(v) as sd from e group by 1),
-b as (select patient_id, avg(v) filter (device_model = 'click') as a, avg(v) filter (device_model = 'view') as b from e group by 1 having a is not null and b is not null)
+    "repeatability": f"""with {_EV}, e as (select patient_id, v, case when device_model in ('view', 'click') then 'look' else 'act' end as device_model from ev), s as (select patient_id, count(*) as n, avg(v) as mean, stddev_samp(v) as sd from e group by 1),
+b as (select patient_id, avg(v) filter (device_model = 'act') as a, avg(v) filter (device_model = 'look') as b from e group by 1 having a is not null and b is not null)
 select sum(n)::bigint as n_rows, count(*) as n_subjects, count(*) filter (n >= 2) as n_repeated_subjects, round(sqrt(avg(sd * sd) filter (n >= 2)), 6) as within_subject_sd, round(2.77 * sqrt(avg(sd * sd) filter (n >= 2)), 6) as repeatability_coefficient,
 round(avg(100 * sd / abs(mean)) filter (n >= 2 and mean <> 0), 6) as mean_within_subject_cv_percent, (select count(distinct device_model) from e) as n_devices, (select round(avg(b - a), 6) from b) as between_device_mean_bias, (select round(stddev_samp(b - a), 6) from b) as between_device_sd,
 (select round(avg(b - a) - 1.96 * stddev_samp(b - a), 6) from b) as between_device_loa_low, (select round(avg(b - a) + 1.96 * stddev_samp(b - a), 6) from b) as between_device_loa_high from s""",

@@ -5,7 +5,7 @@ import pytest
 
 from lumenframe.functions.slopes import median_slope
 from lumenframe.operators import resampling as r
-from tests.conftest import one
+from tests.conftest import one, rows
 
 Y, P = [10.0, 12.0, 15.0, 18.0, 21.0, 25.0], [10.5, 11.5, 15.5, 17.0, 22.0, 24.0]
 
@@ -124,3 +124,27 @@ def test_registered_bootstraps_match_their_sql(spark, small):
         assert len(got) == len(want)
         for a, b in zip(got, sorted(want, key=repr), strict=True):
             assert a == pytest.approx(b, abs=2e-6)
+
+
+def test_order_statistics_with_infinities_and_steps(spark):
+    from lumenframe.functions.ordering import order_statistics, quantiles
+
+    inf = float("inf")
+    values = [float(i % 37) for i in range(60)] + [1e300, -1e300, inf, inf, -inf, 5e-324, 1e15, 1e15 + 0.125]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    assert order_statistics(df, "v", range(len(values)), small=5) == sorted(values)
+    assert quantiles(df, "v", [0.0, 1.0]) == [-inf, inf]
+    with pytest.raises(ValueError):
+        order_statistics(df, "v", [len(values)])
+    with pytest.raises(ValueError):
+        order_statistics(spark.createDataFrame([(float("nan"),)], "v double"), "v", [0])
+
+
+def test_permutations_in_ranges_are_the_same(spark, monkeypatch):
+    from lumenframe.operators import resampling
+
+    df = spark.createDataFrame([(i, float(i), float((i * 7) % 50)) for i in range(50)], "id long, y double, p double")
+    want = rows(resampling.permutation_tests(df, "y", "p", "id", permutations=30))
+    monkeypatch.setattr(resampling, "PER_RANGE", 7)
+    got = rows(resampling.permutation_tests(df, "y", "p", "id", permutations=30))
+    assert [r[:2] + r[4:] for r in got] == [r[:2] + r[4:] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
