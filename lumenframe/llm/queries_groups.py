@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import cut, spread
 from ..sources.tables import table
 from . import identity as ident
-from .canonical_values import map_values
+from .canonical_values import candidates, map_values
 from .components import assigned, grouped
 
 FIELDS = ("white_balance_mode", "illumination", "roi_type")
@@ -29,6 +29,13 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).where("entry_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("rows"))
 
 
+def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the limit of each distinct value of the three fields."""
+    c = spread(table(spark, d, "captures").select(*FIELDS))
+    each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS))
+    return candidates(c.select(F.explode(each).alias("v")).select("v.*").where("value is not null"), table(spark, d, "vocabulary"))
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     v = spread(table(spark, d, "visits").select("visit_id", "patient_id", "device_model")).select("visit_id", ident.patient_key("patient_id").alias("patient"), ident.unit_key("device_model").alias("unit"))
     return grouped(v, "visit_id", ["patient", "unit"])
@@ -45,7 +52,7 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return g.join(assigned(g, SHARES), "group_id").select(F.col("row_id").alias("visit_id"), F.col("group_id").alias("group_visit_id"), "split")
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_splits": p4_splits}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_splits": p4_splits}
 
 SQL = {
     "p4_found": f"""with recursive keys as materialized (select visit_id, {ident.patient_key_sql('patient_id')} as p, {ident.unit_key_sql('device_model')} as u from visits),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lumenframe.llm import components as co
-from lumenframe.llm.canonical_values import Trie, allowed, map_values
+from lumenframe.llm.canonical_values import Trie, allowed, candidates, map_values
 from lumenframe.llm.queries_groups import SHARES, p3_unmatched, p4_splits
 from tests.conftest import rows
 
@@ -60,14 +60,36 @@ def test_a_tie_is_unmatched():
     assert Trie([("abcd", 1), ("abce", 2)]).nearest("abcf")[0] == 0 and Trie([("abcd", 1), ("abce", 1)]).nearest("abcf")[0] == 1
 
 
-def test_table(spark, monkeypatch):
+def test_table(spark):
     df = spark.createDataFrame([(1, "locked", "x", 1), (2, "Locked", None, 1), (3, None, "", 1), (4, " ", "​", 1), (5, "auto?", "CONJUNCTIVA", 1), (5, "auto?", "CONJUNCTIVA", 1)], "record_id long, wb string, roi string, entry_id int")
     want = [(1, "roi", "x", 0), (2, "wb", "Locked", 1), (5, "roi", "CONJUNCTIVA", 4), (5, "roi", "CONJUNCTIVA", 4), (5, "wb", "auto?", 2), (5, "wb", "auto?", 2)]
     assert rows(map_values(df, ["wb", "roi"], vocabulary(spark)).select("record_id", "field_name", "value", "entry_id")) == want
     assert {r["entry_id"] for r in map_values(df, ["wb", "roi"], vocabulary(spark, [])).collect()} == {0}
     assert map_values(df.where("false"), ["wb", "roi"], vocabulary(spark)).count() == 0
-    monkeypatch.setattr("lumenframe.llm.canonical_values.BLOCK", 2)
-    assert rows(map_values(df.distinct(), ["wb", "roi"], vocabulary(spark)).select("record_id", "field_name", "value", "entry_id")) == sorted(set(want), key=repr)
+
+
+@pytest.mark.parametrize("block", [1, 2, 20_000])
+def test_answers_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr("lumenframe.llm.canonical_values.BLOCK", block)
+    monkeypatch.setattr("lumenframe.llm.canonical_values.PART", 3)
+    words = [(1, "wb", "abcd", None), (2, "wb", "abce", "abcx"), (3, "wb", "zebra crossing", "conj"), (4, "wb", "conjunctiva", None), (5, "wb", "locked", None), (6, "roi", "abcd", None)]
+    texts = ["abcf", "abcf", "abcd", "abcdd", "ABCD", "abcf: locked", "zebra crosing", "conj.", "con.", None, " ", "nothing like it", "locked (abce)"]
+    df = spark.createDataFrame([(i % 9, t, "abcdd", 1) for i, t in enumerate(texts)], "record_id long, wb string, roi string, block int")
+    got = rows(map_values(df, ["wb", "roi"], vocabulary(spark, words)).select("record_id", "field_name", "value", "entry_id", "distance"))
+    want = []
+    for i, t in enumerate(texts):
+        for f, v in (("wb", t), ("roi", "abcdd")):
+            if v and v.strip() and (f, v) not in {("wb", "abcd"), ("roi", "abcd")}:
+                trie = Trie((p, e) for e, g, label, more in words if g == f for p in (label, *(more or "").split("|")) if p)
+                want.append((i % 9, f, v, *trie.nearest(v)))
+    assert got == sorted(want, key=repr) and (0, "wb", "abcf", 0, 0) in got and (1, "wb", "abcf", 0, 0) in got
+    near = rows(candidates(df.selectExpr("'wb' as field_name", "wb as value").where("value is not null"), vocabulary(spark, words)))
+    assert [r[2:] for r in near if r[1] == "abcf"] == [(1, 1), (2, 1)] and not [r for r in near if r[1] == "abcd"]
+
+
+def test_readings_have_no_limit():
+    wrapped = "wb: " * 40 + "locked" + " 1/2" * 30 + " (x)"
+    assert Trie([("locked", 1)]).nearest(wrapped) == (1, 0)
 
 
 def test_unmatched_report(spark, small):
