@@ -88,7 +88,7 @@ def test_answers_do_not_depend_on_blocks(spark, monkeypatch, block):
 
 
 def test_readings_have_no_limit():
-    wrapped = "wb: " * 40 + "locked" + " 1/2" * 30 + " (x)"
+    wrapped = "wb: " * 40 + "locked" + " *" * 30 + " (x)"
     assert Trie([("locked", 1)]).nearest(wrapped) == (1, 0)
 
 
@@ -144,6 +144,16 @@ def test_closest_subset():
         assert abs(sum(s * k for s, k in take.items()) - target) == min(abs(t - target) for t in sums)
     assert co.closest_subset({}, 5) == {}
     assert sum(s * k for s, k in co.closest_subset({1: 10**7, 10**6: 3}, 5 * 10**6).items()) == 5 * 10**6
+    assert co.closest_subset({6 * 10**6: 1, 5 * 10**6: 2}, 10**7) == {6 * 10**6: 0, 5 * 10**6: 2}
+    odd = co.closest_subset({6_000_001: 1, 5_000_001: 2, 999_983: 3}, 10**7)
+    assert odd == {6_000_001: 0, 5_000_001: 2, 999_983: 0} or sum(s * k for s, k in odd.items()) == 6_000_001 + 3 * 999_983 or abs(sum(s * k for s, k in odd.items()) - 10**7) <= 2
+
+
+def test_splits_close_together():
+    counts = {7: 3, 5: 4, 3: 2}
+    q = co.split_quotas(counts, SHARES)
+    assert all(sum(q[k].get(s, 0) for k in q) == n for s, n in counts.items())
+    assert {k: sum(s * n for s, n in q[k].items()) for k in ("validation", "test")} == {"validation": 7, "test": 7}
 
 
 def test_splits(spark, small, queries):
