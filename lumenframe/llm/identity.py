@@ -116,6 +116,13 @@ def _place(parts: Column) -> Column:
     return F.when(F.length(date) == 8, F.concat(source, F.lit("|"), number_key(parts[1]), F.lit("|"), let(parts[2], _patient), F.lit("|"), date, F.lit("|"), number_key(parts[4])))
 
 
+def _climbed(c: Column) -> Column:
+    """A path without ``..``: each takes back the step before it, if there is one."""
+    back = lambda done, part: (part == "..") & (F.size(done) > 0) & ~F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")).isin("", "..")
+    walk = lambda done, part: F.when(back(done, part), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    return F.when(c.contains("/../"), F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), walk), "/")).otherwise(c)
+
+
 def path_key(col: Column | str) -> Column:
     """``source|site|patient|date|image number`` of a path below any mount root; null if it names no such place.
 
@@ -123,17 +130,15 @@ def path_key(col: Column | str) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     c = F.regexp_replace(fold(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)), r"[\\/]+", "/")
-    c = F.regexp_replace(c, r"/(?: *\./)+", "/")
-    for _ in range(4):
-        c = F.regexp_replace(c, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    c = let(F.regexp_replace(c, r"/(?: *\./)+", "/"), _climbed)
     return let(c, lambda c: let(F.when(c.rlike(_PLACE), F.array(*(F.regexp_extract(c, _PLACE, n) for n in range(1, 6)))), _place))
 
 
 def path_key_sql(col: str) -> str:
     c = f"regexp_replace({fold_sql(f"url_decode(replace({col}, '+', '%2B'))")}, '[\\\\/]+', '/', 'g')"
     c = rf"regexp_replace({c}, '/(?: *\./)+', '/', 'g')"
-    for _ in range(4):
-        c = rf"regexp_replace({c}, '(^|/)(?:[^/.][^/]*|\.[^/.][^/]*)/\.\./', '\1', 'g')"
+    # steps are pushed on a list, and ".." takes the last one off
+    c = f"""list_aggregate(list_reduce(list_prepend([''], list_transform(string_split({c}, '/'), lambda x: [x])), lambda done, x: case when x = ['..'] and len(done) > 1 and done[len(done)] not in ('', '..') then done[:len(done) - 1] else list_concat(done, x) end)[2:], 'string_agg', '/')"""
     part = lambda n: f"regexp_extract({c}, '{_PLACE}', {n})"
     date = f"regexp_replace({part(4)}, '[^0-9]', '', 'g')"
     key = f"regexp_replace({part(1)}, '[^a-z0-9]', '', 'g') || '|' || {number_key_sql(part(2))} || '|' || {patient_key_sql(part(3))} || '|' || {date} || '|' || {number_key_sql(part(5))}"

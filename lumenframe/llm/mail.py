@@ -11,6 +11,7 @@ import binascii
 import html
 import quopri
 import re
+from collections.abc import Iterator
 
 _HEADER = re.compile(r"^[!-9;-~]{1,60}:")
 _PARAM = re.compile(r"""boundary\s*=\s*(?:"([^"]+)"|'([^']+)'|([^\s;]+))""", re.I)
@@ -80,25 +81,57 @@ def _from_html(text: str) -> str:
     return html.unescape(_TAG.sub("", _BLOCK.sub("\n", text)))
 
 
-def _parts(head: str, body: str, depth: int = 0) -> tuple[list[str], list[str]]:
-    """(plain texts, HTML texts) of one entity."""
-    kind = (re.search(r"(?im)^content-type:\s*([\w.+/-]+)", head) or ["", "text/plain"])[1].lower()
-    if kind.startswith("multipart/") and depth < 8 and (m := _PARAM.search(head)):
-        mark = "--" + (m[1] or m[2] or m[3])
-        plain, rich = [], []
-        for piece in body.split(mark)[1:]:
-            if piece.startswith("--"):
-                break
-            p, r = _parts(*_split_head(piece.lstrip("\r\n") if _HEADER.match(piece.lstrip("\r\n")) else piece), depth + 1)
-            plain += p
-            rich += r
-        return ((plain, []) if any(map(str.strip, plain)) else (rich, [])) if kind.endswith("alternative") else (plain, rich)
+def _pieces(head: str, body: str) -> list[str] | None:
+    """The parts of a multipart entity, None for others."""
+    if (m := _PARAM.search(head)) is None:
+        return None
+    found = []
+    for piece in body.split("--" + (m[1] or m[2] or m[3]))[1:]:
+        if piece.startswith("--"):
+            break
+        found.append(bare if _HEADER.match(bare := piece.lstrip("\r\n")) else piece)
+    return found
+
+
+def _texts(kind: str, head: str, body: str) -> tuple[list[str], list[str]]:
+    """(plain texts, HTML texts) of an entity without parts."""
     if re.search(r"(?im)^content-disposition:\s*attachment|^content-type:[^\n]*\bname=", head) or not kind.startswith(("text/plain", "text/html")):
         return [], []
     text = _decoded(head, body)
     return ([], [_from_html(text)]) if kind == "text/html" or re.match(r"(?is)\s*<(?:!doctype|html)\b", text) else ([text], [])
 
 
+def _parts(head: str, body: str) -> tuple[list[str], list[str]]:
+    """(plain texts, HTML texts) of one entity, whose parts may be nested to any depth."""
+    plain: list[str] = []
+    rich: list[str] = []
+    # open multiparts: (whether the parts are alternatives, parts still to be read, plain, rich)
+    stack: list[tuple[bool, Iterator[str], list[str], list[str]]] = [(False, iter(()), plain, rich)]
+    entity: tuple[str, str] | None = (head, body)
+    while True:
+        if entity is not None:
+            head, body = entity
+            kind = (re.search(r"(?im)^content-type:\s*([\w.+/-]+)", head) or ["", "text/plain"])[1].lower()
+            pieces = _pieces(head, body) if kind.startswith("multipart/") else None
+            if pieces is not None:
+                stack.append((kind.endswith("alternative"), iter(pieces), [], []))
+            else:
+                p, r = _texts(kind, head, body)
+                stack[-1][2].extend(p)
+                stack[-1][3].extend(r)
+        piece = next(stack[-1][1], None)
+        if piece is not None:
+            entity = _split_head(piece)
+        elif len(stack) == 1:
+            return plain, rich
+        else:
+            entity = None
+            either, _, p, r = stack.pop()
+            p, r = ((p, []) if any(map(str.strip, p)) else ([], r)) if either else (p, r)
+            stack[-1][2].extend(p)
+            stack[-1][3].extend(r)
+
+
 def body(message: str | None) -> str:
     """The decoded text of a message, HTML as lines of text."""
     if not message:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import fresh_path, spread, written
+from ..plans.staging import fresh_path, spread
 from ..sources.tables import table
 from . import identity as ident
 from .vector_cells import CellIndex, replay
@@ -34,15 +34,21 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Two vectors a file: its digest, and the hash of the place its path names."""
-    f = spread(table(spark, d, "inventory").select("file_id", "sha256", "image_path")).select("file_id", ident.digest_key("sha256").alias("digest"), F.md5(ident.path_key("image_path")).alias("place"))
-    both = F.array(F.struct(F.lit(0).cast("byte").alias("kind"), F.unhex("digest").alias("vec")), F.struct(F.lit(1).cast("byte").alias("kind"), F.unhex(F.rpad("place", 64, "0")).alias("vec")))
-    return f.select("file_id", F.explode(both).alias("e")).select("file_id", "e.kind", "e.vec")
+def _evidence(files: DataFrame) -> DataFrame:
+    """Two vectors a file, by batch: its digest, and the digest of the place its path names."""
+    f = spread(files.select("file_id", "batch_id", "sha256", "image_path")).select("file_id", "batch_id", ident.digest_key("sha256").alias("digest"), F.sha2(ident.path_key("image_path"), 256).alias("place"))
+    both = F.array(F.struct(F.lit(0).cast("byte").alias("kind"), F.unhex("digest").alias("vec")), F.struct(F.lit(1).cast("byte").alias("kind"), F.unhex("place").alias("vec")))
+    return f.select("file_id", "batch_id", F.explode(both).alias("e")).select("file_id", "batch_id", "e.kind", "e.vec")
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:
-    return replay(CellIndex(spark, fresh_path(spark, "cells")), written(_evidence(spark, d).where("vec is not null"), "evidence"))
+    """Batch after batch through an index that starts empty; files without a batch come with the first."""
+    files = table(spark, d, "inventory").where("file_id is not null").withColumn("batch_id", F.coalesce("batch_id", F.lit(-1)))
+    batches = files.groupBy("batch_id").agg(F.count("*").alias("n")).persist()
+    expected = 2 * int(batches.agg(F.sum("n")).first()[0] or 0)
+    found = replay(CellIndex(spark, fresh_path(spark, "cells"), expected), _evidence(files), batches)
+    batches.unpersist()
+    return found
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -33,6 +33,8 @@ def test_digests_and_places(spark):
     place = "field_hemo/site08/PT-00000060/2024-01-22/IMG_0006.jpg"
     same = [f"/data/intake/{place}", f"file:///data/intake/{place}", "D:\\intake\\" + place.replace("/", "\\"), f"bucket://raw-images/{place}", place, f"/mnt/vol2/intake/{place}?rev=2", "/data/intake/field%5Fhemo/site08/PT%2D00000060/2024%2D01%2D22/IMG%5F0006.jpg", "/x/Field_Hemo/Site 8/pt_60/20240122/img-0006 (1).jpeg", "/x/./field_hemo/site08//PT-00000060/tmp/../2024_01_22/IMG_0006_edited.webp", "/x/ field_hemo/site08/PT-00000060/../PT-00000060/2024-01-22/IMG_0006.jpg "]
     assert set(keys(spark, ident.path_key, same)) == {"fieldhemo|8|p60|20240122|6"}
+    deep = place.replace("/", "/a/b/c/d/e/f/../../../../../../", 1)
+    assert keys(spark, ident.path_key, [deep, "../../" + place, place.replace("/", "/x/../y/../z/../q/../r/../s/../", 1)]) == ["fieldhemo|8|p60|20240122|6"] * 3
     other = keys(spark, ident.path_key, [place.replace("0006", "0007"), place.replace("site08", "site09"), "a/b.jpg", None, "", "%zz/" + place])
     assert other[0] != "fieldhemo|8|p60|20240122|6" and other[1].split("|")[1] == "9" and other[2:5] == [None, None, None] and other[5] == "fieldhemo|8|p60|20240122|6"
 

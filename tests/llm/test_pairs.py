@@ -80,26 +80,46 @@ def exact(vectors, radius, upto=None):
     return out
 
 
-def test_replay_equals_batches_and_brute_force(spark, vectors, tmp_path):
-    want = exact(vectors, 0)
-    ev = evidence(spark, vectors)
-    one = {r["file_id"]: r["earliest"] for r in vc.replay(vc.CellIndex(spark, str(tmp_path / "a")), ev).collect()}
-    index, parts = vc.CellIndex(spark, str(tmp_path / "b")), {}
-    for low in range(1, 202, 50):
-        batch = ev.where(F.col("file_id").between(low, low + 49))
-        index.append(batch)
-        parts |= {r["file_id"]: r["earliest"] for r in index.check(batch).collect()}
-    assert one == parts == want and want
-
-
-def test_near_vectors_meet_within_the_radius(spark, tmp_path):
+@pytest.mark.parametrize("share", [0.0, 0.5, 10.0])
+def test_replay_equals_brute_force(spark, vectors, tmp_path, share, monkeypatch):
+    monkeypatch.setattr(vc, "MOST_SEGMENTS", 2)
+    ev = evidence(spark, vectors).withColumn("batch_id", F.expr("file_id div 30"))
+    sizes = ev.groupBy("batch_id").agg(F.count("*").alias("n"))
+    index = vc.CellIndex(spark, str(tmp_path / "a"))
+    assert {r["file_id"]: r["earliest"] for r in vc.replay(index, ev, sizes, share).collect()} == exact(vectors, 0)
+    again = vc.CellIndex(spark, str(tmp_path / "a"))
+    assert again.state == index.state and again.stored().count() == len({v for _, _, v in vectors if v})
+
+
+def test_rounds():
+    counts = [(b, 100) for b in range(50)]
+    assert vc.rounds(counts, 0.0) == {b: b for b in range(50)}
+    assert max(vc.rounds(counts).values()) < 10 and list(vc.rounds(counts).values()) == sorted(vc.rounds(counts).values())
+
+
+def test_a_batch_reads_only_the_cells_it_opens(spark, vectors, tmp_path):
+    index = vc.CellIndex(spark, str(tmp_path / "a"), expected=16 * vc.PER_CELL)
+    index.append(index.representatives(evidence(spark, vectors)))
+    few = evidence(spark, [(900 + i, k, v) for i, k, v in vectors[:2]])
+    cells = {r["cell"] for r in vc.probes(few, index.cells, 0.0, index.ring_width).collect()}
+    opened = index.stored(sorted(cells))
+    read = [r[0] for r in opened.select(F.input_file_name()).distinct().collect()]
+    assert 0 < len(read) < len(index.stored().inputFiles()) and {f.split("/cell=")[1].split("/")[0] for f in read} <= {str(c) for c in cells}
+    assert "PartitionFilters: [cell" in opened._jdf.queryExecution().executedPlan().toString()  # other folders aren't opened
+    assert {r["file_id"]: r["earliest"] for r in index.check(few).collect()} == {900 + i: min(j for j, _, u in vectors if u == v) for i, _, v in vectors[:2]}
+
+
+def test_near_vectors_meet_within_the_radius(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.integers(20, 230, (30, vc.DIM))
     vs = [(i + 1, 0, bytes(b.astype(np.uint8))) for i, b in enumerate(base)] + [(100 + i, 0, bytes((b + rng.integers(-4, 5, vc.DIM)).astype(np.uint8))) for i, b in enumerate(base)]
-    index = vc.CellIndex(spark, str(tmp_path / "c"), n_cells=8)
-    index.append(evidence(spark, vs))
-    got = {r["file_id"]: r["earliest"] for r in index.check(evidence(spark, vs), radius=20.0).collect()}
-    assert got == exact(vs, 20.0) and len(got) == 30
+    index = vc.CellIndex(spark, str(tmp_path / "c"), radius=20.0)
+    index.append(index.representatives(evidence(spark, vs)))
+    want = exact(vs, 20.0)
+    for small in (vc.SMALL, 0):
+        monkeypatch.setattr(vc, "SMALL", small)
+        got = {r["file_id"]: r["earliest"] for r in index.check(evidence(spark, vs), radius=20.0).collect()}
+        assert got == want and len(got) == 30  # recall 1: the bounds leave no nearer match out
 
 
 def test_repeats_by_digest_or_place(spark, folder):
