@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import column_quality as quality
 from ..operators import schema_drift as drift
-from ..sources.chunks import value_counts
+from ..sources.chunks import chunks, value_counts
 from ..sources.tables import table
 from .staging import written
 
 MEASURED = ("target_value", "working_distance_mm", "incidence_angle_deg")
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    raw = value_counts(spark, f"{d}/intake_manifest.parquet", ["load_id", "site_code", "biomarker"], MEASURED)
-    by = ["load_id", "site_code", "biomarker", "column_name", "value"]
-    counts = raw.groupBy(*by).agg(F.sum("n").alias("n")).withColumn("load_id", F.col("load_id").cast("int")).where("load_id is not null and site_code is not null")
-    return written(quality.classified(counts, table(spark, d, "column_bounds")), "counts")
-
-
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d)
-    return quality.others_profile(counts, quality.load_profile(counts))
+    path = f"{d}/intake_manifest.parquet"
+    raw = value_counts(spark, path, ["load_id", "site_code", "biomarker"], MEASURED)
+    counts = raw.withColumn("load_id", F.col("load_id").cast("int")).where("load_id is not null and site_code is not null").drop("source")
+    rows = int(chunks(spark, path).agg(F.sum("rows")).first()[0] or 0)
+    return quality.profiled(written(quality.cumulated(quality.classified(counts, table(spark, d, "column_bounds")), rows), "counts"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

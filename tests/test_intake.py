@@ -52,6 +52,23 @@ def test_empty_table(found):
     assert found({}) == set()
 
 
+def test_others_match_brute_force_in_many_ranges(spark, folder, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(q, "PER_RANGE", 20)
+    rng = np.random.default_rng(3)
+    loads = {i: [None if rng.random() < 0.1 else f"{v:.{rng.integers(0, 3)}f}" for v in rng.normal(12, 6, rng.integers(1, 60))] for i in range(12)} | {20: [], 21: ["99"], 22: ["5", "5.0", "5.00"] * 9}
+    d = folder(intake_manifest=manifest(spark, loads), column_bounds=spark.createDataFrame(BOUNDS, "column_name string, biomarker string, low_value double, high_value double"))
+    got = {r["load_id"]: r for r in intake._profile(spark, d).where("column_name = 'target_value'").collect()}
+    number = lambda v: [float(x) for x in v if x is not None and 3.0 <= float(x) <= 25.0]
+    assert set(got) == {k for k, v in loads.items() if v}
+    for k, r in got.items():
+        for values, have in ((number(loads[k]), r["quartiles"]), ([x for j, v in loads.items() if j != k for x in number(v)], r["other_quartiles"])):
+            assert have == (pytest.approx(np.quantile(values, [0.25, 0.5, 0.75])) if values else None)
+        assert r["rows"] == len(loads[k]) and r["distinct_values"] == len({v for v in loads[k] if v is not None})
+    assert got[22]["commonest"] == 27
+
+
 def test_words_for_no_value(spark):
     c = spark.createDataFrame([(1, "S", None, "target_value", v, 1) for v in ("?", "--", " N/A ", "none", "ok", "0", None, " ")], "load_id int, site_code string, biomarker string, column_name string, value string, n long")
     got = {r["value"]: r["missing"] for r in q.classified(c, spark.createDataFrame(BOUNDS, "column_name string, biomarker string, low_value double, high_value double")).collect()}
