@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.staging import cut
+from ..plans.staging import cut, written
 
 
 def _written(df: DataFrame, changed: Column) -> tuple[DataFrame, int]:
@@ -62,11 +62,11 @@ def grouped(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
 
     A null key links nothing. Of each key only its smallest row becomes a node, so hot keys are one edge, not a clique.
     """
-    node = cut(rows.select(F.col(row_id).cast("long").alias("row_id"), *keys))
+    node = written(rows.select(F.col(row_id).cast("long").alias("row_id"), *keys), "keys")
     for i, k in enumerate(keys):
         firsts = node.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("row_id").alias(f"m{i}"))
         node = node.join(firsts, k, "left")
-    node = cut(node.select("row_id", *(f"m{i}" for i in range(len(keys)))))
+    node = written(node.select("row_id", *(f"m{i}" for i in range(len(keys)))), "firsts")
     home = F.coalesce(*(F.col(f"m{i}") for i in range(len(keys))), F.col("row_id"))
     node = node.withColumn("home", home)
     links = None
