@@ -39,7 +39,7 @@ def test_digests_and_places(spark):
     assert other[0] != "fieldhemo|8|p60|20240122|6" and other[1].split("|")[1] == "9" and other[2:5] == [None, None, None] and other[5] == "fieldhemo|8|p60|20240122|6"
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_counts", "p2_found", "p2_batches", "p4_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_counts", "p1_records", "p2_found", "p2_batches", "p4_found"])
 def test_sql_agrees(spark, small, duck, queries, name):
     from lumenframe.llm.registry import SQL
 

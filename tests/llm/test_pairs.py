@@ -45,6 +45,21 @@ def test_pairs_match_brute_force(spark, folder):
     assert sum(r["pairs"] for r in counts) == len(brute(data)) and sum(r["records"] for r in counts) == sum(r[1] not in (None, "train") for r in data)
 
 
+def test_crowded_hashes_are_parted(spark, folder, monkeypatch):
+    data = [(i, ["train", "test"][i % 2], "s", "QC-PHANTOM-01", "IMG-7", f"AQ-001-{i % 5:07d}") for i in range(120)] + [(500 + i, ["train", "test"][i % 2], "s", f"PT-{i // 2}", f"IMG-{i // 2}", None) for i in range(20)]
+    d = folder(captures=captures(spark, data))
+    monkeypatch.setattr(w, "PAIRS_A_TASK", 100)
+    assert sorted(map(tuple, p1_found(spark, d).collect())) == brute(data)
+    codes = w.coded(spark.createDataFrame([(i, i % 2 == 0, 1, 2, 3) for i in range(60)], "i long, s boolean, a int, b int, c int"), F.col("i"), F.col("s"), [F.col("a"), F.col("b"), F.col("c")])
+    assert {r["g"] for r in w.crowded(codes, 60).collect()} == {3}
+
+
+def test_the_longest_alignment_decides(spark):
+    df = spark.createDataFrame([(1, True, "a", "b", "c"), (2, False, "c", "a", "b"), (3, False, "a", "b", "x"), (4, False, "b", "a", "c"), (5, False, None, "b", "c")], "i long, s boolean, x string, y string, z string")
+    got = w.shared_records(df, F.col("i"), F.col("s"), [F.col("x"), F.col("y"), F.col("z")]).collect()
+    assert sorted((r["record_id_b"], r["shared"], r["turn"]) for r in got) == [(2, 3, 1), (3, 2, 0), (5, 2, 0)] and all(r["seeds"] >= 1 for r in got)
+
+
 def test_hot_identifiers_and_repeated_rows(spark, folder):
     data = [(i, "train" if i % 2 else "test", "s", "QC-PHANTOM-01", f"IMG-{i:06d}", None) for i in range(400)] + [(1000, "train", "s", "PT-1", "IMG-7", None), (1000, "train", "s", "PT-1", "IMG-7", None), (1001, "test", "s", "PT-1", "img_7", None)]
     assert rows(p1_found(spark, folder(captures=captures(spark, data)))) == [(1000, 1001)]
