@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import cut, spread
+from ..functions.numbers import beside
+from ..plans.staging import cut, spread, written
 from ..sources.tables import table
 from . import identity as ident
 from .canonical_values import candidates, map_values
@@ -52,7 +53,14 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return g.join(assigned(g, SHARES), "group_id").select(F.col("row_id").alias("visit_id"), F.col("group_id").alias("group_visit_id"), "split")
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_splits": p4_splits}
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per split its visits, and the groups that are in more than one split."""
+    s = written(p4_splits(spark, d), "splits")
+    torn = s.groupBy("group_visit_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn_groups"))
+    return beside(s.groupBy("split").agg(F.count("*").alias("visits")), torn)
+
+
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_splits": p4_splits, "p4_totals": p4_totals}
 
 SQL = {
     "p4_found": f"""with recursive keys as materialized (select visit_id, {ident.patient_key_sql('patient_id')} as p, {ident.unit_key_sql('device_model')} as u from visits),
@@ -61,4 +69,5 @@ union select k.visit_id, m.m from keys k join (select u, min(visit_id) as m from
 both_ways as materialized (select a, b from e union select b, a from e),
 reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on e.a = r.b)
 select min(b) as group_visit_id, a as visit_id from reach group by a having min(b) < a""",
+    "p4_totals": "select split, visits, 0 as torn_groups from (select round(count(*) * 0.15)::bigint as n, count(*) - 2 * round(count(*) * 0.15)::bigint as rest from visits), lateral (values ('validation', n), ('test', n), ('train', rest)) t(split, visits)",
 }

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import spread
 
-#: The vocabulary's place on every machine; a parameter, as it is no part of this library.
+#: The vocabulary's place on every machine, where neither a call nor the session's setting SETTING names another; it is no part of this library.
+SETTING = "spark.lumenframe.vocabulary"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging (a fixed value of that public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,8 +29,9 @@ def tokenizer(path: str) -> Any:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, path: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+def token_counts(documents: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns ``keep`` and tokens of each text; a null or empty text has none."""
+    path = path or documents.sparkSession.conf.get(SETTING, VOCABULARY)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)

@@ -20,9 +20,9 @@ def test_nested_parts_have_no_limit():
     text = "Content-Type: text/plain\n\nOwn words here."
     for i in range(300):
         text = f'Content-Type: multipart/mixed; boundary="b{i:04d}x"\n\n--b{i:04d}x\n{text}\n--b{i:04d}x--\n'
-    assert own_lines(text) == ["Own words here."]
+    assert mail.own_lines(text) == ["Own words here."]
     both = 'Content-Type: multipart/alternative; boundary="q"\n\n--q\nContent-Type: text/plain\n\nplain\n--q\nContent-Type: text/html\n\n<p>rich</p>\n--q--\n'
-    assert own_lines(both) == ["plain"]
+    assert mail.own_lines(both) == ["plain"]
 
 
 @pytest.mark.parametrize(
