@@ -14,6 +14,7 @@ from ..functions.numbers import rounded
 from ..operators import gates, measurement, models, relations, resampling
 from ..sources.sinks import report_dict
 from ..sources.tables import table
+from . import equations
 
 IDENTITY = ("patient_id", "acquisition_id", "image_id")
 MANIFEST = ("dataset", "biomarker", "target_unit", "features", "model", "split_seed", "code_version", "notes")
@@ -157,7 +158,52 @@ def _gate_sql() -> str:
     return f"{counts} union all select concat_ws('__', 'overlap', kind, a, b), n from ({overlaps})"
 
 
-SQL = {"gate_checks": _gate_sql()}
+_F = """f as materialized (select record_id, patient_id, split_name, target_value as t, coalesce(exposure_us, 0) / 10000 as f1, coalesce(iso, 0) / 100 as f2, coalesce(working_distance_mm, 0) / 100 + target_value / 20 as f3, (biomarker = 'bilirubin')::int as f4
+from captures where target_value is not null and not isnan(target_value) and patient_id is not null)"""
+
+
+def _baselines_sql() -> str:
+    from .statistics import _metrics
+
+    parts = []
+    for model, fit in (("linear", equations.ridge("linear", "g", 4, "0")), ("ridge", equations.ridge("ridge", "g", 4, "1")), ("lasso", equations.lasso("lasso", "g", 4, 0.01))):
+        parts.append((fit, f"select {_metrics('t', 'p')}, '{model}' as model from (select t, {equations.reading(FEATURES)} as p from f, {model} where split_name = 'test')"))
+    return f"with recursive {_F}, {equations.gram('g', 'f', FEATURES, ['t'], where=_TRAIN)}, {', '.join(p[0] for p in parts)} {' union all '.join(p[1] for p in parts)}"
+
+
+_TRAIN = "split_name = 'train'"
+
+
+def _affine_sql() -> str:
+    rgb, ref = ("r", "g", "b"), ("ref_r", "ref_g", "ref_b")
+    seen = """li as (select l_returnflag, l_quantity / 50 as r, l_discount * 10 as g, l_tax * 10 as b from lineitem), seen as materialized (select *, 0.9 * r + 0.05 * g + 0.02 as ref_r, 0.1 * r + 0.8 * g as ref_g, 0.05 * r * r + 0.9 * b + 0.01 as ref_b from li)"""
+    off = lambda t: f"avg(({equations.reading(rgb, 'm.')} - {t}) * ({equations.reading(rgb, 'm.')} - {t}))"
+    held = ", ".join(f"(select round(sqrt({off(t)}), 5) from seen, fit m where m.target = '{t}' and l_returnflag = 'R') as rmse_{t[-1]}" for t in ref)
+    fitted = " + ".join(f"(select {off(t)} from seen, fit m where m.target = '{t}' and l_returnflag <> 'R')" for t in ref)
+    return f"with {seen}, {equations.gram('q', 'seen', rgb, ref, where=_KEPT)}, {equations.ridge('fit', 'q', 3, '0')} select {held}, round(sqrt(({fitted}) / 3), 5) as fit_rmse"
+
+
+_KEPT = "l_returnflag <> 'R'"
+
+
+def _conformal_sql() -> str:
+    return f"""with {_F}, {equations.gram('g', 'f', FEATURES, ['t'], where=_TRAIN)}, {equations.ridge('ridge', 'g', 4, '1')}, p as materialized (select split_name, t, {equations.reading(FEATURES)} as p from f, ridge),
+s as (select abs(p - t) as score, row_number() over (order by abs(p - t)) as k, count(*) over () as n from p where split_name = 'calibration'), q as (select score as q from s where k = least(n, greatest(1, ceil((n + 1) * 0.9))))
+select count(*) as n, round(avg((t between p - q and p + q)::int), 6) as coverage, round(avg((p + q) - (p - q)), 6) as mean_width, round(median((p + q) - (p - q)), 6) as median_width from p, q where split_name = 'test'"""
+
+
+def _benchmark_sql() -> str:
+    from .statistics import _SUMS, REPLICATES, _boot
+
+    b = f"{_F}, b as materialized (select record_id, patient_id, t as y, 20 * f3 - 20 as p from f where split_name = 'test')"
+    boot = _boot(b, f"select patient_id, {_SUMS} from b group by patient_id", "patient_id", "mae", "rmse", "r2", "pearson_r")
+    tests = f"""with {b}, placed as materialized (select y, p, row_number() over (order by record_id) - 1 as idx from b), o as (select avg(abs(p - y)) as mae, sqrt(avg((p - y) * (p - y))) as rmse from placed),
+s as (select rep, p, row_number() over (partition by rep order by md5('42-' || rep || '-' || idx), idx) - 1 as idx from placed, range({REPLICATES}) t(rep)), v as (select rep, avg(abs(s.p - placed.y)) as mae, sqrt(avg((s.p - placed.y) * (s.p - placed.y))) as rmse from s join placed using (idx) group by rep),
+w as (select count(*) filter (v.mae <= o.mae) as mae, count(*) filter (v.rmse <= o.rmse) as rmse from v, o) select 'mae' as metric, round((1 + mae) / {REPLICATES + 1}.0, 6) as p_value from w union all select 'rmse', round((1 + rmse) / {REPLICATES + 1}.0, 6) from w"""
+    return f"select metric, estimate, lower, upper, p_value, n_units, n_bootstrap from ({boot}) left join ({tests}) using (metric)"
+
+
+SQL = {"gate_checks": _gate_sql(), "linear_baselines": _baselines_sql(), "affine_calibration": _affine_sql(), "conformal_experiment": _conformal_sql(), "benchmark_report": _benchmark_sql()}
 
 
 def flagship_dict(train: DataFrame, calibration: DataFrame, test: DataFrame, features: Sequence[str], **how) -> dict:

@@ -262,6 +262,12 @@ select a.model, round(a.mae, 6) as mae_source, round(b.mae, 6) as mae_held_out,
     "permutation_test": f"""with {_MEAS}, placed as materialized (select r as y, m as p, row_number() over (order by subject) - 1 as idx from pr), o as (select avg(abs(p - y)) as observed, count(*) as n from placed),
 s as (select rep, p, row_number() over (partition by rep order by md5('42-' || rep || '-' || idx), idx) - 1 as idx from placed, range({REPLICATES}) t(rep)), v as (select rep, avg(abs(s.p - placed.y)) as v from s join placed using (idx) group by rep)
 select 'mae' as metric, round(observed, 6) as observed, round(avg(v), 6) as null_mean, round(stddev_samp(v), 6) as null_std, round((1 + count(*) filter (v <= observed)) / {REPLICATES + 1}.0, 6) as p_value, {REPLICATES} as n_permutations, n from v, o group by observed, n""",
+    "slope_bootstrap": f"""with {_MEAS}, placed as materialized (select r, m, row_number() over (order by subject) - 1 as idx from pr), n_units as (select count(*) as c from placed),
+d as materialized (select rep, pos, r, m from (select rep, pos, {_DRAW} c) as idx from range({REPLICATES}) t(rep), n_units, lateral (select unnest(range(c)) as pos)) join placed using (idx)),
+v as (select rep, var_samp(r) as sxx, var_samp(m) as syy, covar_samp(r, m) as sxy, avg(r) as mr, avg(m) as mm from d group by rep), pb as (select a.rep, median((b.m - a.m) / (b.r - a.r)) as slope from d a join d b on a.rep = b.rep and a.pos < b.pos and a.r <> b.r group by a.rep),
+s as (select rep, mr, mm, pb.slope, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) as deming from v join pb using (rep) where sxx <> 0 and sxy <> 0), i as (select rep, median(m - slope * r) as intercept from s join d using (rep) group by rep),
+x as (select unnest(['deming_slope', 'deming_intercept', 'passing_bablok_slope', 'passing_bablok_intercept']) as metric, unnest([deming, mm - deming * mr, slope, intercept]) as v from s join i using (rep))
+select metric, round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper, count(v) as n_defined from x group by metric""",
     "interval_calibration": f"""with {_PRED}, units as (select l_suppkey, count(*) as n, sum((y between lo and hi)::int) as hit from pred group by 1), placed as materialized (select *, row_number() over (order by l_suppkey) - 1 as idx from units), n_units as (select count(*) as c from placed),
 d as (select rep, {_DRAW} c) as idx from range({REPLICATES}) t(rep), n_units, lateral (select unnest(range(c)) as pos)), reps as (select rep, sum(hit) / sum(n) as v from d join placed using (idx) group by rep)
 select sum(n)::bigint as n_rows, count(*) as n_subjects, round(sum(hit) / sum(n), 6) as observed_coverage, (select round(quantile_cont(v, 0.025), 6) from reps) as coverage_ci_low, (select round(quantile_cont(v, 0.975), 6) from reps) as coverage_ci_high, (select round(avg(hi - lo), 6) from pred) as mean_width, (select round(median(hi - lo), 6) from pred) as median_width,
