@@ -120,7 +120,10 @@ def union_schema(fields: DataFrame, catalog: Sequence[str]) -> dict[str, str]:
 
 
 def union_table(rows: DataFrame, catalog: Sequence[str], types: dict[str, str]) -> DataFrame:
-    """row_id, file_id and one column for each catalogued field, cast to its union type; objects and arrays are JSON text."""
+    """row_id, file_id and one column for each catalogued field, cast to its union type; objects and arrays are JSON text.
+
+    Where a line holds a field under two spellings, the catalogued one counts, else the first; ``file_fields`` counts them all.
+    """
     names = list(catalog)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,10 @@ def union_table(rows: DataFrame, catalog: Sequence[str], types: dict[str, str])
                 if (found := parsed(payload)) is None:
                     continue
                 keep.append(i)
-                row = {known.field(s): v for s, v in found.items() if kind_of(v) != "nothing"}
+                row: dict[str, Any] = {}
+                for s, v in found.items():
+                    if kind_of(v) != "nothing" and ((f := known.field(s)) not in row or s == f):
+                        row[f] = v
                 for f in names:
                     v = row.get(f)
                     columns[f].append(v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False))

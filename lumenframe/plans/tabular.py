@@ -102,7 +102,7 @@ def overlap_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partition_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return rel.partition_overlaps(_captures(spark, d), "split_name", ["acquisition_id"])
+    return rel.partition_overlaps(_captures(spark, d), "split_name", ["patient_id", "acquisition_id", "image_id"])
 
 
 def patient_split(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +145,8 @@ def participant_images(spark: SparkSession, d: str) -> DataFrame:
     from .intake import catalog
 
     rows, names = table(spark, d, "export_rows"), catalog(spark, d)
-    t = union_table(rows, names, union_schema(file_fields(rows, names), names)).where("participant_uuid is not null").drop("iso", "exposure_us", "flash_mode", "white_balance_mode")
-    out = a.adapt_participants(t, ("conjunctiva", "tongue"))
+    t = union_table(rows, names, union_schema(file_fields(rows, names), names)).where("participant_uuid is not null")
+    out = a.adapt_participants(t)
     return out.groupBy("roi_type", "reference_method").agg(F.count("*").alias("images"), F.round(F.avg("target_value"), 6).alias("target"), F.count("iso").alias("with_iso"))
 
 
@@ -318,7 +318,7 @@ select count(*) as n_records, count(distinct patient_id) as n_patients, count(*)
     "duplicate_rows": "select file_id, sha256 from (select *, count(*) over (partition by sha256) as k from inventory where sha256 is not null) where k > 1",
     "duplicate_texts": "select doc_id, f as duplicate_of from (select doc_id, min(doc_id) over (partition by sha256(text)) as f from documents where text is not null) where f < doc_id",
     "overlap_counts": f"with {_OVER}, n as (select distinct split_name as p from captures where split_name is not null) select k.kind, x.p as a, y.p as b, (select count(*) from h h1 join h h2 on h1.kind = h2.kind and h1.id = h2.id where h1.kind = k.kind and h1.part = x.p and h2.part = y.p) as n from n x join n y on x.p < y.p, (values ('patient_id'), ('acquisition_id'), ('image_id')) k(kind)",
-    "partition_overlaps": f"with {_OVER} select h1.kind, h1.part as a, h2.part as b, h1.id from h h1 join h h2 on h1.kind = h2.kind and h1.id = h2.id and h1.part < h2.part where h1.kind = 'acquisition_id'",
+    "partition_overlaps": f"with {_OVER} select h1.kind, h1.part as a, h2.part as b, h1.id from h h1 join h h2 on h1.kind = h2.kind and h1.id = h2.id and h1.part < h2.part",
     "patient_split": "with c as (select record_id, regexp_replace(patient_id, '^\\s+|\\s+$', '', 'g') as p, 1 as part from captures where trim(patient_id, ' ') <> ''), " + _split("z as (select 1)") + " select record_id, partition from c join s using (part, p)",
     "split_by_biomarker": "with c as (select biomarker as part, regexp_replace(patient_id, '^\\s+|\\s+$', '', 'g') as p from captures where trim(patient_id, ' ') <> '' and biomarker is not null), " + _split("z as (select 1)") + " select part as biomarker, partition, count(*) as n from c join s using (part, p) group by all",
     "unseen_device_split": """with t as (select distinct patient_id from captures where device_model = 'Norvik P4'), m as (select c.patient_id, case when device_model = 'Norvik P4' then 'test' when t.patient_id is not null or (c.patient_id is null and exists (select 1 from t where patient_id is null)) then 'excluded' else 'train' end as partition from captures c left join t on t.patient_id = c.patient_id)
