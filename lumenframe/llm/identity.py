@@ -112,8 +112,10 @@ _PLACE = "(?:^|/) *([^/]+?) */ *site[^a-z0-9/]*([0-9]+)[^/]*/([^/]+)/([^/]+)/ *i
 
 
 def _place(parts: Column) -> Column:
+    """The key of the five steps that ``_PLACE`` matches."""
     source, date = F.regexp_replace(parts[0], "[^a-z0-9]", ""), F.regexp_replace(parts[3], "[^0-9]", "")
-    return F.when(F.length(date) == 8, F.concat(source, F.lit("|"), number_key(parts[1]), F.lit("|"), let(parts[2], _patient), F.lit("|"), date, F.lit("|"), number_key(parts[4])))
+    site, image = F.regexp_extract(parts[1], "site[^a-z0-9]*([0-9]+)", 1), F.regexp_extract(parts[4], "([0-9]+)$", 1)
+    return F.when(F.length(date) == 8, F.concat(source, F.lit("|"), number_key(site), F.lit("|"), let(parts[2], _patient), F.lit("|"), date, F.lit("|"), number_key(image)))
 
 
 def _climbed(c: Column) -> Column:
@@ -131,7 +133,7 @@ def path_key(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     c = F.regexp_replace(fold(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)), r"[\\/]+", "/")
     c = let(F.regexp_replace(c, r"/(?: *\./)+", "/"), _climbed)
-    return let(c, lambda c: let(F.when(c.rlike(_PLACE), F.array(*(F.regexp_extract(c, _PLACE, n) for n in range(1, 6)))), _place))
+    return let(F.regexp_extract(c, _PLACE, 0), lambda found: F.when(found != "", let(F.split(F.ltrim(found, F.lit("/")), "/"), _place)))
 
 
 def path_key_sql(col: str) -> str:
