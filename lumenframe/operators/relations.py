@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite, missing, number, stripped
+from ..functions.numbers import beside, finite, missing, number, stripped
 from ..functions.ordering import indexed
 from ..plans.staging import written
 
@@ -47,14 +47,15 @@ def leakage_audit(df: DataFrame, patient: str = "patient_id", acquisition: str =
 
 def device_distribution(df: DataFrame, device: str = "device_model") -> DataFrame:
     """Rows and share of each device, the null device included, most first."""
-    total = W.partitionBy()
-    return df.groupBy(device).agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / F.sum("n").over(total)).orderBy(F.desc("n"), device)
+    counts = df.groupBy(device).agg(F.count("*").alias("n"))
+    return beside(counts, df.agg(F.count("*").alias("_all"))).select(device, "n", (F.col("n") / F.col("_all")).alias("fraction")).orderBy(F.desc("n"), device)
 
 
 def status_counts(df: DataFrame, status: Column | str, states: Sequence[str] = ("PASS", "REVIEW", "FAIL")) -> DataFrame:
-    """Rows of each state, zero where there are none."""
+    """Rows of each state, zero where there are none, and their shares of all rows."""
     s = F.col(status) if isinstance(status, str) else status
-    return df.agg(F.count("*").alias("n"), *(F.count_if(s == x).alias(x.lower()) for x in states))
+    out = df.agg(F.count("*").alias("n"), *(F.count_if(s == x).alias(x.lower()) for x in states))
+    return out.select("*", *(F.round(F.try_divide(F.col(x.lower()).cast("double"), F.col("n").cast("double")), 6).alias(f"{x.lower()}_rate") for x in states))
 
 
 def duplicate_rows(df: DataFrame, key: str) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.numbers import number, rounded
 from ..operators import adapters as a
 from ..operators import gates as g
+from ..operators import images as im
 from ..operators import pixels as px
 from ..operators import relations as rel
 from ..schema import CANONICAL, ColumnMapping
+from ..sources.files import read_images
 from ..sources.tables import table
+from .staging import fresh_path
 
 
 def _captures(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +185,35 @@ def pixel_quality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(px.assessed(_pixels(spark, d)))
 
 
+def _image_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same images as files, decoded by Spark."""
+    folder = fresh_path(spark, "images")
+    im.write_images(_pixels(spark, d), folder)
+    return read_images(spark, folder)
+
+
+def _of_file(df: DataFrame, *what: str) -> DataFrame:
+    return df.select(F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("long").alias("image_id"), *(f"{w}.*" for w in what))
+
+
+def image_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_of_file(im.measured(_image_files(spark, d), ("features",), reference={"r": 180, "g": 180, "b": 180}), "features"))
+
+
+def image_regions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_of_file(im.measured(_image_files(spark, d), ("region",), region_limits=im.RegionLimits(gains=(2.0, 1.0, 0.5), calibration_id="bench-1")), "region"))
+
+
+def image_quality(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_of_file(im.measured(_image_files(spark, d), ("quality",)), "quality"))
+
+
+def image_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, sharpness and the four flags of each file."""
+    a = im.quality_audit(_image_files(spark, d))
+    return rounded(_of_file(a.select("path", F.struct("*").alias("all")), "all").drop("path"))
+
+
 def pixel_flash(spark: SparkSession, d: str) -> DataFrame:
     """Images against the image of the next supplier, as flash and ambient."""
     p = _pixels(spark, d)
@@ -200,7 +232,7 @@ def absorption_spectra(spark: SparkSession, d: str) -> DataFrame:
 def _queries() -> dict:
     found = (
         gate_canonical, gate_acquisition, gate_physics, gate_target, gate_intake, gate_passed, gate_rows, target_report, external_partition, missing_fractions, target_summary, leakage_report, leakage_audit, device_distribution, status_counts, duplicate_rows, duplicate_texts,
-        overlap_counts, partition_overlaps, patient_split, split_by_biomarker, unseen_device_split, audit_gate, canonical_table, camera_values, normalized_names, participant_images, pixel_features, pixel_regions, pixel_crops, pixel_sharpness, pixel_quality, pixel_flash, absorption_spectra,
+        overlap_counts, partition_overlaps, patient_split, split_by_biomarker, unseen_device_split, audit_gate, canonical_table, camera_values, normalized_names, participant_images, pixel_features, pixel_regions, pixel_crops, pixel_sharpness, pixel_quality, pixel_flash, absorption_spectra, image_features, image_regions, image_quality, image_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -314,7 +346,7 @@ select count(*) as n_records, count(distinct patient_id) as n_patients, count(*)
     "leakage_audit": """select count(*) as n_rows, count(distinct patient_id) as n_patients, count(*) - count(distinct patient_id) - max((patient_id is null)::int) as duplicate_patient_rows, count(*) - count(distinct acquisition_id) - max((acquisition_id is null)::int) as duplicate_acquisition_rows,
 (select count(*) - count(distinct patient_id) from (select distinct patient_id, device_model from captures where patient_id is not null and device_model is not null)) as patients_seen_on_multiple_devices from captures""",
     "device_distribution": "select device_model, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as fraction from captures group by 1",
-    "status_counts": "select count(*) as n, count(*) filter (file_exists and readable) as pass, count(*) filter (file_exists and not readable) as review, count(*) filter (not file_exists) as fail from inventory",
+    "status_counts": "select count(*) as n, count(*) filter (file_exists and readable) as pass, count(*) filter (file_exists and not readable) as review, count(*) filter (not file_exists) as fail, round(pass / n, 6) as pass_rate, round(review / n, 6) as review_rate, round(fail / n, 6) as fail_rate from inventory",
     "duplicate_rows": "select file_id, sha256 from (select *, count(*) over (partition by sha256) as k from inventory where sha256 is not null) where k > 1",
     "duplicate_texts": "select doc_id, f as duplicate_of from (select doc_id, min(doc_id) over (partition by sha256(text)) as f from documents where text is not null) where f < doc_id",
     "overlap_counts": f"with {_OVER}, n as (select distinct split_name as p from captures where split_name is not null) select k.kind, x.p as a, y.p as b, (select count(*) from h h1 join h h2 on h1.kind = h2.kind and h1.id = h2.id where h1.kind = k.kind and h1.part = x.p and h2.part = y.p) as n from n x join n y on x.p < y.p, (values ('patient_id'), ('acquisition_id'), ('image_id')) k(kind)",
@@ -348,3 +380,9 @@ f1 as flag_insufficient_dimensions, f2 as flag_low_sharpness, f3 as flag_high_il
     "absorption_spectra": """with s as (select n_nationkey as chromophore, unnest([400, 500, 600, 700]) as wavelength from nation), a as (select s_suppkey as sample_id, wavelength, sum((wavelength % 7 + chromophore) / 10 * abs(s_acctbal) / 1000) as absorption from supplier join s on s_nationkey = chromophore group by all)
 select sample_id, wavelength, round(absorption, 6) as absorption, round(exp(-(absorption / 100 + 0.01)), 6) as transmitted from a""",
 }
+
+# Files hold whole rows of 16 pixels only.
+_WHOLE_ROWS = lambda sql: sql.replace(_PX, f"{_PX.replace('px as (', 'pa as (', 1)}, px as (select * from pa qualify count(*) over (partition by image_id, y) = 16)")
+SQL |= {f"image_{a}": _WHOLE_ROWS(SQL[f"pixel_{b}"]) for a, b in (("features", "features"), ("regions", "regions"))}
+SQL["image_quality"] = f"select * exclude (image_width, image_height) from ({_WHOLE_ROWS(SQL['pixel_quality'])})"
+SQL["image_audit"] = f"select *, gray_mean between 15 and 240 as brightness_ok, gray_std >= 5 as contrast_ok, laplacian_variance >= 20 as blur_ok, saturated_fraction <= 0.25 as saturation_ok, null::varchar as quality_error from ({_WHOLE_ROWS(SQL['pixel_sharpness'])})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
@@ -64,6 +65,26 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return i.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "width", "height", (F.col("height") > 0).alias("readable"), "nChannels", "data")
 
 
+def open_output(path: str):
+    """A file to write, on any file system that Arrow knows; plain paths and file: URIs are local."""
+    from urllib.parse import unquote, urlsplit
+
+    from pyarrow import fs
+
+    parts = urlsplit(path)
+    system, inner = (fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    system.create_dir(str(PurePosixPath(inner).parent), recursive=True)
+    return system.open_output_stream(inner)
+
+
+def encode_bmp(rgb: np.ndarray) -> bytes:
+    """Red, green and blue bytes (height, width, 3) as an uncompressed bitmap file."""
+    h, w, _ = rgb.shape
+    rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)
+    rows[:, : 3 * w] = rgb[::-1, :, ::-1].reshape(h, 3 * w)
+    return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """(image_id, y, x, r, g, b) of decoded images; the decoder's order is blue, green, red, and one channel is gray."""
 
