@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adapters, gates, pixels, relations
+from .operators import adapters, gates, images, relations
+from .plans.staging import discard, written
 from .schema import CANONICAL, ColumnMapping
 from .sources import files, sinks
 
@@ -38,21 +39,41 @@ def canonicalize(spark, a):
     return report, report["passed"]
 
 
+def _split_clean(df: DataFrame) -> tuple[bool, str | None]:
+    """Whether patients of each biomarker can be split without overlap, and why not."""
+    try:
+        split_ = relations.split_by(df)
+        relations.require_disjoint(split_.withColumn("_key", F.concat_ws("|", "biomarker", "patient_id")), "partition", "_key")
+    except Exception as e:  # noqa: BLE001 - any failure is a failed check
+        return False, str(e)[:500]
+    return True, None
+
+
 def audit(spark, a):
+    """Fails unless every image is there, can be decoded, isn't a copy, was measured and is of usable quality, and patients can be split."""
     df = gates.completed(files.load_table(spark, a.input), CANONICAL)
-    report = {"canonical": sinks.report_dict(gates.passed(df, gates.canonical_rules()))}
-    if report["canonical"]["passed"]:
-        sinks.write_csv(relations.missingness(df), f"{a.output}/missingness")
-        sinks.write_csv(relations.target_summary(df), f"{a.output}/target_summary")
-        report["leakage"] = sinks.report_dict(relations.leakage_report(df))
-        if a.root:
-            inv = files.inventory(spark, df, a.root)
-            sinks.write_csv(inv, f"{a.output}/inventory")
-            sinks.write_csv(relations.duplicate_rows(inv.where("sha256 is not null"), "sha256"), f"{a.output}/duplicates")
-            report["files"] = sinks.report_dict(inv.agg(F.count("*").alias("n"), F.every("exists").alias("exists"), F.every("readable").alias("readable")))
-        report["split"] = {r["partition"]: r["n"] for r in relations.split_by(df).groupBy("partition").agg(F.count("*").alias("n")).collect()}
-    files_ok = all(report.get("files", {}).get(k, True) for k in ("exists", "readable"))
-    return report, report["canonical"]["passed"] and files_ok
+    report = {"canonical": sinks.report_dict(gates.passed(df, gates.canonical_rules())), "ready": False}
+    if not report["canonical"]["passed"]:
+        return report, False
+    sinks.write_csv(relations.missingness(df), f"{a.output}/missingness")
+    sinks.write_csv(relations.target_summary(df), f"{a.output}/target_summary")
+    report["leakage"] = sinks.report_dict(relations.leakage_report(df))
+    clean, report["split_error"] = _split_clean(df)
+    if a.root:
+        inv = written(files.inventory(spark, df, a.root), "inventory")
+        audited = written(images.quality_audit(files.read_images(spark, a.root)), "audited")
+        asked = inv.select(files.resolved(F.col("image_path"), a.root).alias("path")).distinct()
+        audited = asked.join(audited, "path", "left").withColumn("quality_error", F.when(F.col("brightness_ok").isNull() & F.col("quality_error").isNull(), "the file is missing or no image").otherwise(F.col("quality_error")))
+        sinks.write_csv(inv, f"{a.output}/inventory")
+        sinks.write_csv(relations.duplicate_rows(inv.where("sha256 is not null"), "sha256"), f"{a.output}/duplicates")
+        sinks.write_csv(audited, f"{a.output}/quality")
+    else:  # no files were seen, so nothing is known of them
+        inv = spark.createDataFrame([], "exists boolean, readable boolean, sha256 string")
+        audited = spark.createDataFrame([], "quality_error string, " + ", ".join(f"{c} boolean" for c in images.AUDIT_FLAGS))
+    checks = written(images.audit_checks(inv, audited, clean), "checks")
+    report["checks"] = {r["name"]: r["ok"] for r in checks.collect()}
+    report["ready"] = sinks.report_dict(relations.audit_gate(checks))["passed"]
+    return report, report["ready"]
 
 
 def split(spark, a):
@@ -61,19 +82,23 @@ def split(spark, a):
     return {r["partition"]: r["n"] for r in out.groupBy("partition").agg(F.count("*").alias("n")).collect()}, True
 
 
-def _region_pixels(spark, a):
-    meta = files.load_table(spark, a.input, texts=["patient_id", "image_id"])
-    px = files.pixels(files.read_images(spark, a.root))
-    boxes = meta.select(files.resolved(F.col("image_path"), a.root).alias("image_id"), *("roi_x0 roi_y0 roi_x1 roi_y1".split())).where("roi_x0 is not null and roi_y0 is not null and roi_x1 is not null and roi_y1 is not null")
-    return meta, pixels.cropped(px, boxes)
+def _regions(spark, a, what: str, **how) -> DataFrame:
+    """Metadata rows with the measurement of their image's region, or the reason why there is none."""
+    meta = files.load_table(spark, a.input, texts=["patient_id", "image_id"]).withColumn("_path", files.resolved(F.col("image_path"), a.root))
+    boxes = gates.completed(meta, images.BOX).select(F.col("_path").alias("path"), *images.BOX).dropDuplicates(["path"])
+    found = images.measured(files.read_images(spark, a.root), (what,), None if getattr(a, "centre", None) else boxes, getattr(a, "centre", None), **how)
+    found = found.select(F.col("path").alias("_path"), F.col("error").alias("_error"), F.col(what).alias("_found"), F.lit(True).alias("_seen"))
+    j = meta.join(found, "_path", "left")
+    error = F.when(F.col("_seen").isNull(), "the file is missing or no image").otherwise(F.col("_error"))
+    return j.select(*(c for c in meta.columns if c != "_path"), "_found.*", error.alias("feature_error"))
 
 
 def features(spark, a):
-    meta, region = _region_pixels(spark, a)
-    found = pixels.features(region).withColumnRenamed("image_id", "_path")
-    out = meta.withColumn("_path", files.resolved(F.col("image_path"), a.root)).join(found, "_path", "left").withColumn("feature_error", F.when(F.col("pixels").isNull(), "no readable region")).drop("_path")
+    """Features of each image's region; a centre region has to be asked for and is for demonstrations only."""
+    out = written(_regions(spark, a, "features"), "features")
     sinks.write_csv(_text(out), a.output)
-    return {"rows": out.count(), "failed": out.where("feature_error is not null").count()}, True
+    report = sinks.report_dict(out.agg(F.count("*").alias("rows"), F.count("feature_error").alias("failed")))
+    return report, report["rows"] > 0
 
 
 def physics_audit(spark, a):
@@ -95,7 +120,7 @@ def video_preflight(spark, a):
 
 def video_validate(spark, a):
     manifest = files.load_table(spark, a.input).withColumn("row_id", F.monotonically_increasing_id())
-    out = files.inspect_videos(spark, manifest, a.root).persist()
+    out = written(files.inspect_videos(spark, manifest, a.root), "videos")
     sinks.write_records(out, f"{a.output}/records")
     report = sinks.report_dict(out.agg(F.count("*").alias("rows"), F.count_if("exists").alias("found"), F.count_if("readable").alias("readable"), F.count("duplicate_of").alias("duplicate_files")))
     return report, report["rows"] > 0 and report["readable"] == report["rows"] and not report["duplicate_files"]
@@ -123,11 +148,10 @@ def experimental_intake(spark, a):
 
 
 def optical_audit(spark, a):
-    _, region = _region_pixels(spark, a)
-    out = pixels.valid_region(region)
-    sinks.write_csv(out, a.output)
-    report = sinks.report_dict(relations.status_counts(out, "status", ("PASS", "FAIL")))
-    return report, report["n"] > 0 and not report["fail"]
+    out = written(_regions(spark, a, "region"), "regions")
+    sinks.write_csv(_text(out), a.output)
+    report = sinks.report_dict(relations.status_counts(out, F.coalesce("status", F.lit("ERROR")), ("PASS", "FAIL", "ERROR")))
+    return report, report["n"] > 0 and report["pass"] == report["n"]
 
 
 def scientific_experiment(spark, a):
@@ -140,16 +164,30 @@ def scientific_experiment(spark, a):
 
 
 def quality(spark, a):
-    thresholds = pixels.THRESHOLDS
+    """Fails where there is no image, or one that can't be decoded."""
+    given = {}
     if a.config:
         import yaml
 
         with open(a.config, encoding="utf-8") as f:
-            thresholds = yaml.safe_load(f)
-    out = pixels.assessed(files.pixels(files.read_images(spark, a.root)), thresholds).persist()
+            given = yaml.safe_load(f) or {}
+    limits = images.QualityLimits(**given)
+    found = images.measured(files.read_images(spark, a.root), ("quality",), quality_limits=limits).select("path", "width", "height", F.col("quality.*"), F.col("error").alias("_error"))
+    out = files.list_images(spark, a.root).select("path").join(found, "path", "left").withColumn("quality_error", F.when(F.col("quality_status").isNull(), F.coalesce("_error", F.lit("the image can't be decoded")))).drop("_error")
+    out = written(out, "quality")
     sinks.write_csv(out, a.output)
-    report = sinks.report_dict(relations.status_counts(out, "quality_status"))
-    return report, report["n"] > 0
+    report = sinks.report_dict(relations.status_counts(out, F.coalesce("quality_status", F.lit("ERROR")), ("PASS", "REVIEW", "FAIL", "ERROR")))
+    return report, report["n"] > 0 and not report["error"]
+
+
+def ingest_neonatal(spark, a):
+    """A neonatal export as canonical rows; files named but missing fail, and so does an export without rows."""
+    out = adapters.neonatal_images(files.load_table(spark, a.input, texts=["patient_id", "image_idx"]), files.list_images(spark, a.root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")))
+    out = written(out, "rows")
+    n = out.count()
+    if n:
+        sinks.write_csv(out, a.output)
+    return {"rows": n}, n > 0
 
 
 def parser() -> argparse.ArgumentParser:
@@ -168,12 +206,13 @@ def parser() -> argparse.ArgumentParser:
     add("canonicalize", canonicalize, ("--input", need), ("--mapping", need), ("--dataset", need), ("--output", need), *what)
     add("audit", audit, ("--input", need), ("--output", need), ("--root", plain))
     add("split", split, ("--input", need), ("--output", need), ("--seed", {"type": int, "default": 42}))
-    add("features", features, ("--input", need), ("--root", need), ("--output", need))
+    add("features", features, ("--input", need), ("--root", need), ("--output", need), ("--centre", {"type": float, "help": "share of each side of a centre region instead of given ones; for demonstrations only"}))
     add("physics-audit", physics_audit, ("--input", need), ("--output", need), ("--require-raw", {"action": "store_true"}))
     add("participant-preflight", participant_preflight, ("--input", need))
     add("video-preflight", video_preflight, ("--input", need))
     add("video-validate", video_validate, ("--input", need), ("--root", need), ("--output", need))
     add("ingest-participants", ingest_participants, ("--input", need), ("--output", need), ("--modalities", {"nargs": "*"}))
+    add("ingest-neonatal", ingest_neonatal, ("--input", need), ("--root", need), ("--output", need))
     add("experimental-intake", experimental_intake, ("--input", need), ("--root", plain), ("--biomarker", plain), ("--unit", plain))
     add("optical-audit", optical_audit, ("--input", need), ("--root", need), ("--output", need))
     add("scientific-experiment", scientific_experiment, ("--train", need), ("--calibration", need), ("--test", need), ("--features", need), ("--model", {"default": "ridge"}), ("--alpha", {"type": float, "default": 0.10}), ("--max-interval-width", {"type": float}), ("--n-bootstrap", {"type": int, "default": 2000}), ("--n-permutations", {"type": int, "default": 2000}), ("--seed", {"type": int, "default": 42}), *what)
@@ -183,7 +222,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    report, ok = args.run(session(), args)
+    spark = session()
+    try:
+        report, ok = args.run(spark, args)
+    finally:
+        discard(spark)  # what a command wrote to shared storage on its way
     if args.report:
         sinks.write_report(report, args.report)
     print(f"{args.command}: {'passed' if ok else 'failed'}")

@@ -6,16 +6,18 @@ others are Spark's own learners. Rows with a null or infinite feature or target
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
+from ..functions.ordering import indexed
+from ..plans.staging import written
 from .measurement import regression_metrics
 
 
@@ -99,16 +101,25 @@ def tree_learners(seed: int = 42, trees: int = 300, rounds: int = 200) -> dict[s
     }
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, features: Sequence[str], target: str, learners: Mapping[str, Any] | None = None) -> DataFrame:
-    """``test`` with the prediction of a baseline: linear, ridge, lasso, or a learner."""
+def fitted(name: str, train: DataFrame, features: Sequence[str], target: str, learners: Mapping[str, Any] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A baseline (linear, ridge, lasso, or a learner) fitted once; it gives a table its predictions."""
     linear = {"linear": lambda: fit_linear(train, features, target), "ridge": lambda: fit_linear(train, features, target, 1.0), "lasso": lambda: fit_lasso(train, features, target)}
     if name in linear:
-        return linear[name]().predict(test)
+        return linear[name]().predict
+    return _learned((learners or tree_learners())[name], train, features, target)
+
+
+def _learned(learner: Any, train: DataFrame, features: Sequence[str], target: str) -> Callable[[DataFrame], DataFrame]:
     from pyspark.ml.feature import VectorAssembler
 
-    learner = (learners or tree_learners())[name].copy().setLabelCol(target).setFeaturesCol("_features").setPredictionCol("prediction")
     put = VectorAssembler(inputCols=list(features), outputCol="_features")
-    return learner.fit(put.transform(train)).transform(put.transform(test)).drop("_features")
+    model = learner.copy().setLabelCol(target).setFeaturesCol("_features").setPredictionCol("prediction").fit(put.transform(train))
+    return lambda df: model.transform(put.transform(df)).drop("_features")
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, features: Sequence[str], target: str, learners: Mapping[str, Any] | None = None) -> DataFrame:
+    """``test`` with the prediction of a baseline: linear, ridge, lasso, or a learner."""
+    return fitted(name, train, features, target, learners)(test)
 
 
 def fit_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, models: Sequence[str] = ("linear", "ridge", "lasso"), learners: Mapping[str, Any] | None = None) -> DataFrame:
@@ -139,37 +150,52 @@ def affine_rmse(df: DataFrame, maps: Sequence[LinearModel], reference: Sequence[
 
 
 def group_folds(df: DataFrame, group: str, folds: int, alias: str = "fold") -> DataFrame:
-    """``df`` with a fold for each row, groups whole: groups ranked by size go to and fro over the folds, so that totals stay near.
+    """``df`` with a fold for each row, groups whole: groups in order of size, then name, go to and fro over the folds, so that totals stay near.
 
-    Ranks come from counts of sizes and buckets of groups, so that no task holds all groups.
+    Places are counted in sorted ranges, so that no task holds all groups. Fewer groups than folds fail.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(256)))
-    starts = sizes.groupBy("_size", "_bucket").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy(F.desc("_size"), "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.col("_start") + F.row_number().over(W.partitionBy("_size", "_bucket").orderBy(group)) - 1
-    ranked = sizes.join(starts.drop("_n"), ["_size", "_bucket"]).withColumn("_rank", rank)
-    turn, place = F.floor(F.col("_rank") / folds) % 2, F.col("_rank") % folds
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")).withColumn("_less", -F.col("_size"))
+    ranked = indexed(sizes, ["_less", group], "_rank")
+    if ranked.count() < folds:
+        raise ValueError("there are fewer groups than folds")
+    turn, place = F.expr(f"_rank div {folds}") % 2, F.col("_rank") % folds
     fold = F.when(turn == 0, place).otherwise(folds - 1 - place).cast("int")
     return df.join(ranked.select(group, fold.alias(alias)), group)
 
 
 def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), outer: int = 5, inner: int = 4) -> DataFrame:
     """(fold, alpha, mae, rmse) of ridge regression: in each outer fold the alpha that does best over inner folds of its training groups."""
-    placed = group_folds(df, group, outer, "_outer").persist()
+
+    def candidates(train: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
+        return [m.predict for m in fit_ridges(train, features, target, alphas)]
+
+    return _nested(df, target, group, candidates, [float(a) for a in alphas], "alpha", outer, inner)
+
+
+def nested_learner_cv(df: DataFrame, features: Sequence[str], target: str, group: str, learner: Any, grid: Sequence[Mapping[Any, Any]], outer: int = 5, inner: int = 4) -> DataFrame:
+    """(fold, choice, mae, rmse) of any learner of Spark's: in each outer fold the parameters of ``grid``, by position, that do best over inner folds of its training groups."""
+
+    def candidates(train: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
+        return [_learned(learner.copy(dict(p)), train, features, target) for p in grid]
+
+    return _nested(df, target, group, candidates, list(range(len(grid))), "choice", outer, inner)
+
+
+def _nested(df: DataFrame, target: str, group: str, candidates: Callable[[DataFrame], list[Callable[[DataFrame], DataFrame]]], names: Sequence[Any], label: str, outer: int, inner: int) -> DataFrame:
+    if outer < 2 or inner < 2 or not names:
+        raise ValueError("two folds or more and a candidate are required")
+    placed = written(group_folds(df, group, outer, "_outer"), "folds")
+    e = F.col("prediction") - F.col(target)
     parts = []
     for o in range(outer):
-        train, test = placed.where(F.col("_outer") != o), placed.where(F.col("_outer") == o)
-        split = group_folds(train.drop("_outer"), group, inner, "_inner").persist()
-        loss = dict.fromkeys(alphas, 0.0)
+        train, test = placed.where(F.col("_outer") != o).drop("_outer"), placed.where(F.col("_outer") == o)
+        split = written(group_folds(train, group, inner, "_inner"), "folds")
+        loss = [0.0] * len(names)
         for i in range(inner):
-            models = fit_ridges(split.where(F.col("_inner") != i), features, target, alphas)
-            errors = split.where(F.col("_inner") == i).agg(*(F.avg(F.abs(m.expression() - F.col(target))).alias(str(j)) for j, m in enumerate(models))).first()
-            for j, a in enumerate(alphas):
-                loss[a] += errors[j] or 0.0
-        best = min(alphas, key=lambda a: (loss[a], a))
-        e = fit_linear(train, features, target, best).expression() - F.col(target)
-        parts.append(test.agg(F.lit(o).alias("fold"), F.lit(float(best)).alias("alpha"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")))
-        split.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+            held = split.where(F.col("_inner") == i)
+            errors = [m(held).select((F.abs(e)).alias("e"), F.lit(j).alias("j")) for j, m in enumerate(candidates(split.where(F.col("_inner") != i)))]
+            for r in reduce(DataFrame.union, errors).groupBy("j").agg(F.avg("e").alias("mae")).collect():
+                loss[r["j"]] += r["mae"]
+        best = min(range(len(names)), key=lambda j: (loss[j], j))
+        parts.append(candidates(train)[best](test).agg(F.lit(o).alias("fold"), F.lit(names[best]).alias(label), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")))
+    return reduce(DataFrame.union, parts)

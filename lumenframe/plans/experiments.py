@@ -10,21 +10,39 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rounded
+from ..functions.numbers import beside, rounded
 from ..operators import gates, measurement, models, relations, resampling
 from ..sources.sinks import report_dict
 from ..sources.tables import table
 from . import equations
 
 IDENTITY = ("patient_id", "acquisition_id", "image_id")
-MANIFEST = ("dataset", "biomarker", "target_unit", "features", "model", "split_seed", "code_version", "notes")
+#: What identifies an experiment (fixed values).
+MANIFEST = ("dataset", "dataset_version", "split_protocol", "feature_set", "model", "calibration_id", "uncertainty_id")
 
 
-def manifest_hash(**given) -> str:
-    """SHA-256 of the canonical JSON of an experiment's fields; unknown fields fail, missing ones are null."""
-    if unknown := set(given) - set(MANIFEST):
-        raise ValueError(f"unknown fields: {sorted(unknown)}")
-    return hashlib.sha256(json.dumps({k: given.get(k) for k in MANIFEST}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def manifest_hash(*, random_seed: int, **given: str) -> str:
+    """SHA-256 of the canonical JSON of an experiment's identifiers and seed; missing, unknown or blank ones and negative seeds fail."""
+    if set(given) != set(MANIFEST) or any(v is None or not str(v).strip() for v in given.values()):
+        raise ValueError(f"each of {', '.join(MANIFEST)} must be given and not blank")
+    if isinstance(random_seed, bool) or int(random_seed) != random_seed or random_seed < 0:
+        raise ValueError("the seed must be a whole number that isn't negative")
+    return hashlib.sha256(json.dumps(given | {"random_seed": int(random_seed)}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def content_version(df: DataFrame) -> str:
+    """Rows and an order-free hash of their content, which names a version of a table."""
+    columns = [F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in sorted(df.dtypes)]
+    r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("x"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s")).first()
+    return f"{r['n']}-{(r['x'] or 0) & (1 << 64) - 1:016x}-{r['s'] or 0}"
+
+
+def frozen_external(df: DataFrame, y: str, p: str, model: str, lower: str | None = None, upper: str | None = None) -> DataFrame:
+    """One row: error metrics of predictions made elsewhere and, with both bounds, the coverage and width of their intervals. Nothing is fitted."""
+    if (lower is None) != (upper is None):
+        raise ValueError("both bounds are required, or neither")
+    out = measurement.regression_metrics(df, y, p, model=model)
+    return out if lower is None else beside(out, measurement.interval_metrics(df, y, lower, upper).drop("n"))
 
 
 @dataclass(frozen=True)
@@ -77,15 +95,15 @@ def scientific_experiment(train: DataFrame, calibration: DataFrame, test: DataFr
     all_parts = named[0].unionByName(named[1], allowMissingColumns=True).unionByName(named[2], allowMissingColumns=True)
     if not relations.partition_overlaps(all_parts, "_part", IDENTITY).isEmpty():
         raise ValueError("patients, acquisitions or images overlap between partitions")
-    fitted = models.fit_predict(config.model, train, calibration, config.features, "target_value")
-    conformal = resampling.split_conformal(fitted, "target_value", "prediction", config.alpha)
-    predicted = resampling.predict_interval(models.fit_predict(config.model, train, test, config.features, "target_value"), "prediction", conformal)
+    predict = models.fitted(config.model, train, config.features, "target_value")
+    conformal = resampling.split_conformal(predict(calibration), "target_value", "prediction", config.alpha)
+    predicted = resampling.predict_interval(predict(test), "prediction", conformal)
     intervals = report_dict(measurement.interval_metrics(predicted, "target_value", "lower", "upper"))
     report = quantitative_report(predicted, named[0].unionByName(named[1], allowMissingColumns=True), config)
     width = config.max_interval_width
     abstained = 0 if width is None else measurement.abstained(predicted, "lower", "upper", width).where("abstain").count()
     counts = {r["_part"]: r["n"] for r in all_parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    hashed = manifest_hash(dataset="given", biomarker=config.biomarker, target_unit=config.target_unit, features=list(config.features), model=config.model, split_seed=config.seed)
+    hashed = manifest_hash(dataset=f"{config.biomarker} in {config.target_unit}", dataset_version=content_version(all_parts), split_protocol="given train, calibration and test", feature_set=",".join(config.features), model=config.model, calibration_id=f"split conformal {config.alpha!r}", uncertainty_id=f"interval width {config.max_interval_width!r}", random_seed=config.seed)
     return report | {"manifest_hash": hashed, "n": counts, "model": config.model, "uncertainty": intervals | report_dict(conformal), "abstained": abstained}
 
 
@@ -134,6 +152,12 @@ def conformal_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(measurement.interval_metrics(predicted, "target_value", "lower", "upper"))
 
 
+def external_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Frozen readings of captures of one source, with bounds."""
+    f = _features(spark, d).withColumn("prediction", F.expr("20 * f3 - 20")).withColumns({"lower": F.expr("prediction - 5"), "upper": F.expr("prediction + 5")})
+    return rounded(frozen_external(f.where("split_name = 'validation'"), "target_value", "prediction", "linear reading", "lower", "upper"))
+
+
 def gate_checks(spark: SparkSession, d: str) -> DataFrame:
     return gate_report(table(spark, d, "captures"), "split_name", "hemoglobin", "g/dL")
 
@@ -144,7 +168,7 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(benchmark(f, "target_value", "prediction"))
 
 
-QUERIES = {f.__name__: f for f in (linear_baselines, tree_baselines, nested_selection, affine_calibration, conformal_experiment, gate_checks, benchmark_report)}
+QUERIES = {f.__name__: f for f in (linear_baselines, tree_baselines, nested_selection, affine_calibration, conformal_experiment, external_evaluation, gate_checks, benchmark_report)}
 
 
 def _gate_sql() -> str:
@@ -203,8 +227,10 @@ w as (select count(*) filter (v.mae <= o.mae) as mae, count(*) filter (v.rmse <=
     return f"select metric, estimate, lower, upper, p_value, n_units, n_bootstrap from ({boot}) left join ({tests}) using (metric)"
 
 
-SQL = {"gate_checks": _gate_sql(), "linear_baselines": _baselines_sql(), "affine_calibration": _affine_sql(), "conformal_experiment": _conformal_sql(), "benchmark_report": _benchmark_sql()}
+def _external_sql() -> str:
+    from .statistics import _metrics
+
+    return f"with {_F}, e as (select t, 20 * f3 - 20 as p from f where split_name = 'validation') select {_metrics('t', 'p')}, 'linear reading' as model, round(avg((t between p - 5 and p + 5)::int), 6) as coverage, round(avg((p + 5) - (p - 5)), 6) as mean_width, round(median((p + 5) - (p - 5)), 6) as median_width from e"
 
 
-def flagship_dict(train: DataFrame, calibration: DataFrame, test: DataFrame, features: Sequence[str], **how) -> dict:
-    return scientific_experiment(train, calibration, test, ExperimentConfig(tuple(features), **how))
+SQL = {"gate_checks": _gate_sql(), "external_evaluation": _external_sql(), "linear_baselines": _baselines_sql(), "affine_calibration": _affine_sql(), "conformal_experiment": _conformal_sql(), "benchmark_report": _benchmark_sql()}

@@ -55,7 +55,7 @@ def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of image files below ``root``, sorted; contents aren't read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length")
     return f.where(F.col("path").rlike(IMAGES)).orderBy("path")
 
 

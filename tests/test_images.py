@@ -134,3 +134,64 @@ def test_tables_by_suffix(spark, tmp_path):
     assert files.from_arrays(spark, y=[1.0, 2.0], p=[1.0, 2.0]).count() == 2
     with pytest.raises(ValueError):
         files.from_arrays(spark, y=[1.0], p=[])
+
+
+def test_images_match_pixels(spark, tmp_path):
+    from lumenframe.operators import images as im
+
+    rng = np.random.default_rng(5)
+    for name, shape in (("a", (13, 11)), ("b", (5, 30)), ("c", (1, 1))):
+        png(tmp_path / f"{name}.png", rng.integers(0, 256, (*shape, 3)))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    read = files.read_images(spark, str(tmp_path))
+    p = files.pixels(read).withColumnRenamed("image_id", "path")
+    got = {r["path"]: r for r in im.measured(read, reference={"r": 180, "g": 180, "b": 180}).collect()}
+    assert len(got) == 4 and [r["error"] for k, r in got.items() if k.endswith("broken.png")] == ["the image can't be decoded"]
+    for what, want in (("features", px.features(p.withColumnRenamed("path", "image_id"), {"r": 180, "g": 180, "b": 180})), ("region", px.valid_region(p.withColumnRenamed("path", "image_id"))), ("sharpness", px.sharpness(p.withColumnRenamed("path", "image_id"))), ("quality", px.assessed(p.withColumnRenamed("path", "image_id")))):
+        for r in want.collect():
+            have = got[r["image_id"]][what].asDict()
+            for k, v in r.asDict().items():
+                if k in have:
+                    assert have[k] == (pytest.approx(v) if isinstance(v, float) else v), (what, k)
+
+
+def test_regions_and_their_errors(spark, tmp_path):
+    from lumenframe.operators import images as im
+
+    for name in "abcd":
+        png(tmp_path / f"{name}.png", np.full((10, 10, 3), 128))
+    read = files.read_images(spark, str(tmp_path))
+    boxes = spark.createDataFrame([(f"{tmp_path}/a.png", 1.0, 2.0, 5.0, 6.0), (f"{tmp_path}/b.png", 1.0, 2.0, 11.0, 6.0), (f"{tmp_path}/c.png", 1.5, 2.0, 5.0, 6.0)], "path string, roi_x0 double, roi_y0 double, roi_x1 double, roi_y1 double")
+    got = {r["path"][-5]: (r["error"], r["features"] and r["features"]["pixels"]) for r in im.measured(read, ("features",), boxes).collect()}
+    assert got == {"a": (None, 16), "b": ("the region lies outside the image", None), "c": ("the region's corners aren't whole numbers", None), "d": ("the image has no region", None)}
+    assert {r["features"]["pixels"] for r in im.measured(read, ("features",), centre=0.6).collect()} == {36}
+    for bad in ({"high_saturation": 2.0}, {"low_sharpness": "x"}, {"low_sharpness": -1.0}):
+        with pytest.raises(ValueError):
+            im.QualityLimits(**bad)
+    with pytest.raises(ValueError):
+        im.RegionLimits(low=250, high=20)
+
+
+def test_audit_fails_closed(spark, tmp_path):
+    import json
+
+    from lumenframe import cli
+
+    rng = np.random.default_rng(6)
+    root = tmp_path / "images"
+    root.mkdir()
+    for i in range(8):
+        png(root / f"x{i}.png", rng.integers(40, 220, (20, 20, 3)))
+    rows_ = ["patient_id,image_id,image_path,source_dataset,biomarker,target_value,target_unit,roi_type,roi_x0,roi_y0,roi_x1,roi_y1,image_width,image_height"] + [f"p{i},i{i},x{i}.png,d,hemoglobin,12.5,g/dL,nailbed,2,2,18,18,20,20" for i in range(8)]
+    meta = tmp_path / "meta.csv"
+    meta.write_text("\n".join(rows_))
+    run = lambda command, *more: cli.main([command, "--output", str(tmp_path / command), "--report", str(tmp_path / "r.json"), *more])
+    assert run("audit", "--input", str(meta), "--root", str(root)) == 0 and run("quality", "--root", str(root)) == 0
+    assert run("features", "--input", str(meta), "--root", str(root)) == 0 and json.loads((tmp_path / "r.json").read_text()) == {"rows": 8, "failed": 0}
+    (root / "x7.png").write_bytes(b"broken")
+    assert run("quality", "--root", str(root)) == 1 and json.loads((tmp_path / "r.json").read_text())["error"] == 1
+    assert run("audit", "--input", str(meta), "--root", str(root)) == 1
+    checks = json.loads((tmp_path / "r.json").read_text())["checks"]
+    assert not checks["all_images_readable"] and not checks["quality_extraction_complete"] and checks["patient_split_clean"]
+    assert run("features", "--input", str(meta), "--root", str(root)) == 0 and json.loads((tmp_path / "r.json").read_text())["failed"] == 1
+    assert run("optical-audit", "--input", str(meta), "--root", str(root)) == 1

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe import cli
 from lumenframe.operators import models as m
@@ -86,9 +87,36 @@ def test_experiment(spark):
 
 
 def test_manifest_hash():
-    assert e.manifest_hash(dataset="a", model="b") == e.manifest_hash(model="b", dataset="a") != e.manifest_hash(dataset="a")
+    ids = dict.fromkeys(e.MANIFEST, "x")
+    assert e.manifest_hash(**ids, random_seed=1) == e.manifest_hash(random_seed=1, **dict(reversed(ids.items()))) != e.manifest_hash(**ids | {"model": "y"}, random_seed=1)
+    for bad in ({**ids, "random_seed": -1}, {**ids, "model": " ", "random_seed": 1}, {**ids, "colour": "x", "random_seed": 1}, {"model": "x", "random_seed": 1}):
+        with pytest.raises(ValueError):
+            e.manifest_hash(**bad)
+
+
+def test_content_version(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
+    assert e.content_version(df) == e.content_version(df.orderBy(F.desc("i"))) != e.content_version(df.limit(1))
+    assert e.content_version(df.limit(0)).startswith("0-")
+
+
+def test_frozen_external(spark):
+    df = spark.createDataFrame([(1.0, 1.5, 0.0, 2.0), (2.0, 2.0, 2.5, 3.0)], "y double, p double, lo double, hi double")
+    r = one(e.frozen_external(df, "y", "p", "m", "lo", "hi"))
+    assert (r["n"], r["mae"], r["coverage"], r["model"]) == (2, 0.25, 0.5, "m") and "coverage" not in e.frozen_external(df, "y", "p", "m").columns
+    with pytest.raises(ValueError):
+        e.frozen_external(df, "y", "p", "m", "lo")
+
+
+def test_nested_selection_of_any_learner(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    df = spark.createDataFrame([(float(i), 2.0 * i + (i % 3), f"g{i % 9}") for i in range(45)], "x double, y double, g string")
+    lr = LinearRegression()
+    got = m.nested_learner_cv(df, ["x"], "y", "g", lr, [{lr.regParam: 100.0}, {lr.regParam: 0.0}], 3, 2).collect()
+    assert len(got) == 3 and all(r["choice"] == 1 and r["mae"] < 2 for r in got)
     with pytest.raises(ValueError):
-        e.manifest_hash(colour="x")
+        m.group_folds(df.where("g = 'g1'"), "g", 2)
 
 
 def test_streams(spark, tmp_path):
@@ -116,7 +144,8 @@ def test_command_line(spark, tmp_path, capsys):
     spark.read.option("header", True).csv(str(tmp_path / "canon.parquet.csv")).toPandas().to_csv(folder, index=False)
     assert cli.main(["split", "--input", str(folder), "--output", str(tmp_path / "split")]) == 0
     assert cli.main(["physics-audit", "--input", str(folder), "--output", str(tmp_path / "phys"), "--report", report]) == 1
-    assert cli.main(["audit", "--input", str(folder), "--output", str(tmp_path / "audit"), "--report", report]) == 0
+    assert cli.main(["audit", "--input", str(folder), "--output", str(tmp_path / "audit"), "--report", report]) == 1
+    assert json.loads((tmp_path / "r.json").read_text())["checks"]["all_images_exist"] is False
 
 
 def test_entry_has_every_core_query(spark, small):
