@@ -7,14 +7,14 @@ Null, NaN and blank are missing. A column that the table lacks counts as missing
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import beside, finite, missing, number, stripped
+from ..functions.numbers import INF, beside, missing, number, stripped
 from ..schema import CANONICAL, EXPLORATORY_ROIS, ILLUMINATION, REFERENCE_TYPES, REQUIRED, ROIS, UNITS
 
 
@@ -26,16 +26,23 @@ class Rule:
 
 
 def completed(df: DataFrame, columns: Sequence[str] = CANONICAL) -> DataFrame:
-    """``df`` with null for each of ``columns`` that it lacks."""
+    """``df`` with null for each of ``columns`` that it lacks; an ``exposure`` stands in for ``exposure_us`` that is missing or null."""
+    if "exposure" in df.columns and "exposure_us" in columns:
+        df = df.withColumn("exposure_us", F.coalesce("exposure_us", "exposure") if "exposure_us" in df.columns else F.col("exposure"))
     return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
 
 
+#: Columns that rules read as text without case and outer white space, and as numbers.
+TEXTS = ("biomarker", "roi_type", "white_balance_mode", "illumination", "reference_type")
+NUMBERS = ("target_value", "target_time_delta_min", "roi_x0", "roi_y0", "roi_x1", "roi_y1", "image_width", "image_height", "exposure_us", "iso", "working_distance_mm", "incidence_angle_deg", "bit_depth")
+
+
 def flagged(df: DataFrame) -> DataFrame:
-    """``df`` with every canonical column and a flag for each: whether its value is missing. Rules read the flags, so each is worked out once a row."""
+    """``df`` with every canonical column and what rules read of them: whether a value is missing, its lower case text and its number. Each is worked out once a row."""
     df = completed(df)
     kinds = dict(df.dtypes)
     blank = lambda c: (F.col(c).isNull() | F.isnan(c)) if kinds[c] in ("double", "float") else (F.col(c).isNull() | F.col(c).rlike(r"^\s*(?:NaN\s*)?$")) if kinds[c] == "string" else missing(c)
-    return df.withColumns({f"_missing_{c}": blank(c) for c in CANONICAL})
+    return df.withColumns({f"_missing_{c}": blank(c) for c in CANONICAL} | {f"_low_{c}": F.lower(stripped(c)) for c in TEXTS} | {f"_number_{c}": number(c) for c in NUMBERS})
 
 
 def absent(c: str) -> Column:
@@ -43,6 +50,20 @@ def absent(c: str) -> Column:
     return F.col(f"_missing_{c}")
 
 
+def low(c: str) -> Column:
+    return F.col(f"_low_{c}")
+
+
+def read(c: str) -> Column:
+    """The number of a column."""
+    return F.col(f"_number_{c}")
+
+
+def limited(c: str) -> Column:
+    """Whether a column's number is there and finite."""
+    return F.coalesce(F.abs(read(c)) < INF, F.lit(False))
+
+
 def checked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with ``errors`` and ``warnings``: names of the rules that each row breaks, in the rules' order."""
     names = lambda level: F.array_compact(F.array(*(F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules if r.level == level))).cast("array<string>")
@@ -63,29 +84,33 @@ def passed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return flagged(df).agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_failed"), F.count_if(warned).alias("n_warned")).withColumn("passed", (F.col("n_rows") > 0) & (F.col("n_failed") == 0))
 
 
-def low(c: str) -> Column:
-    return F.lower(stripped(c))
+BOX = ("roi_x0", "roi_y0", "roi_x1", "roi_y1", "image_width", "image_height")
 
 
-BOX = ("roi_x0", "roi_y0", "roi_x1", "roi_y1", "image_width", "image_height")
+def passed_all(df: DataFrame, gates: Mapping[str, Sequence[Rule]]) -> DataFrame:
+    """(gate, n_rows, n_failed, n_warned, passed) of several sets of rules, in one pass."""
+    broken = lambda rules, level: reduce(lambda x, y: x | y, (F.coalesce(r.broken, F.lit(False)) for r in rules if r.level == level), F.lit(False))
+    counts = [F.count_if(broken(rules, level)).alias(f"{level}{i}") for i, rules in enumerate(gates.values()) for level in ("error", "warning")]
+    each = F.array(*(F.struct(F.lit(k).alias("gate"), F.col("n_rows"), F.col(f"error{i}").alias("n_failed"), F.col(f"warning{i}").alias("n_warned")) for i, k in enumerate(gates)))
+    return flagged(df).agg(F.count("*").alias("n_rows"), *counts).select(F.explode(each).alias("x")).select("x.*", ((F.col("x.n_rows") > 0) & (F.col("x.n_failed") == 0)).alias("passed"))
 
 
 def _whole_box() -> tuple[Column, Column]:
     """(all six numbers are there, all are finite integers)."""
     there, whole = F.lit(True), F.lit(True)
     for c in BOX:
-        there = there & number(c).isNotNull()
-        whole = whole & finite(c) & (F.floor(number(c)) == number(c))
+        there = there & read(c).isNotNull()
+        whole = whole & limited(c) & (F.floor(read(c)) == read(c))
     return there, whole
 
 
 def box_inside() -> Column:
-    x0, y0, x1, y1, w, h = (number(c) for c in BOX)
+    x0, y0, x1, y1, w, h = (read(c) for c in BOX)
     return (w > 0) & (h > 0) & (x0 >= 0) & (x0 < x1) & (x1 <= w) & (y0 >= 0) & (y0 < y1) & (y1 <= h)
 
 
 def box_sized(least: int = 8, low_share: float = 0.01, high_share: float = 0.95) -> Column:
-    x0, y0, x1, y1, w, h = (number(c) for c in BOX)
+    x0, y0, x1, y1, w, h = (read(c) for c in BOX)
     share = F.try_divide((x1 - x0) * (y1 - y0), w * h)
     return (x1 - x0 >= least) & (y1 - y0 >= least) & share.between(low_share, high_share)
 
@@ -112,9 +137,9 @@ def canonical_rules(strict_roi: bool = False) -> list[Rule]:
     unit = F.coalesce(*(F.when(F.col("biomarker") == b, F.col("target_unit") != u) for b, u in UNITS.items()), F.lit(False))
     return [
         *(Rule(f"missing_{c}", absent(c)) for c in REQUIRED if c != "target_value"),
-        Rule("target_not_numeric", number("target_value").isNull()),
-        Rule("target_not_finite", number("target_value").isNotNull() & ~finite("target_value")),
-        Rule("target_negative", number("target_value") < 0),
+        Rule("target_not_numeric", read("target_value").isNull()),
+        Rule("target_not_finite", read("target_value").isNotNull() & ~limited("target_value")),
+        Rule("target_negative", read("target_value") < 0),
         Rule("biomarker_unknown", ~absent("biomarker") & ~F.col("biomarker").isin(*UNITS)),
         Rule("unit_unexpected", F.col("target_unit").isNotNull() & unit),
         *roi_rules(strict_roi),
@@ -127,8 +152,8 @@ def acquisition_rules() -> list[Rule]:
     whole = ~F.greatest(*(absent(c) for c in needed))
     return [
         *(Rule(f"missing_{c}", absent(c)) for c in needed),
-        *(Rule(f"{c}_invalid", whole & ~(finite(c) & (number(c) > 0))) for c in ("exposure_us", "iso", "working_distance_mm")),
-        Rule("incidence_angle_deg_invalid", whole & ~(finite("incidence_angle_deg") & number("incidence_angle_deg").between(0, 90))),
+        *(Rule(f"{c}_invalid", whole & ~(limited(c) & (read(c) > 0))) for c in ("exposure_us", "iso", "working_distance_mm")),
+        Rule("incidence_angle_deg_invalid", whole & ~(limited("incidence_angle_deg") & read("incidence_angle_deg").between(0, 90))),
         Rule("white_balance_auto", low("white_balance_mode").isin("auto", "awb")),
         Rule("illumination_unknown", whole & ~low("illumination").isin(*ILLUMINATION)),
         Rule("illumination_incomparable", ~absent("illumination") & ~low("illumination").isin(*ILLUMINATION), "warning"),
@@ -137,14 +162,14 @@ def acquisition_rules() -> list[Rule]:
 
 def physics_rules(require_raw: bool = False) -> list[Rule]:
     """Camera settings of a single capture; missing geometry is a warning."""
-    depth = number("bit_depth")
+    depth = read("bit_depth")
     rules = [
         *(Rule(f"{c}_missing", F.col(c).isNull()) for c in ("exposure_us", "iso")),
-        *(Rule(f"{c}_invalid", F.col(c).isNotNull() & ~(finite(c) & (number(c) > 0))) for c in ("exposure_us", "iso")),
-        Rule("bit_depth_invalid", F.col("bit_depth").isNotNull() & ~(finite("bit_depth") & (F.floor(depth) == depth) & (depth >= 8))),
+        *(Rule(f"{c}_invalid", F.col(c).isNotNull() & ~(limited(c) & (read(c) > 0))) for c in ("exposure_us", "iso")),
+        Rule("bit_depth_invalid", F.col("bit_depth").isNotNull() & ~(limited("bit_depth") & (F.floor(depth) == depth) & (depth >= 8))),
         Rule("white_balance_auto", F.coalesce(F.lower(F.col("white_balance_mode").cast("string")), F.lit("")).isin("", "auto", "awb")),
-        Rule("distance_invalid", F.col("working_distance_mm").isNotNull() & ~(finite("working_distance_mm") & (number("working_distance_mm") > 0))),
-        Rule("angle_invalid", F.col("incidence_angle_deg").isNotNull() & ~(finite("incidence_angle_deg") & number("incidence_angle_deg").between(0, 90))),
+        Rule("distance_invalid", F.col("working_distance_mm").isNotNull() & ~(limited("working_distance_mm") & (read("working_distance_mm") > 0))),
+        Rule("angle_invalid", F.col("incidence_angle_deg").isNotNull() & ~(limited("incidence_angle_deg") & read("incidence_angle_deg").between(0, 90))),
         Rule("format_missing", absent("image_format"), "warning"),
         Rule("distance_missing", F.col("working_distance_mm").isNull(), "warning"),
         Rule("angle_missing", F.col("incidence_angle_deg").isNull(), "warning"),
@@ -161,7 +186,7 @@ def target_rules(biomarker: str | None = None, unit: str | None = None) -> list[
     rules = [
         *(Rule(f"missing_{c}", absent(c)) for c in TARGET_FIELDS),
         Rule("reference_type_unsupported", whole & ~low("reference_type").isin(*REFERENCE_TYPES)),
-        Rule("time_delta_invalid", whole & ~absent("target_time_delta_min") & ~(finite("target_time_delta_min") & (number("target_time_delta_min") >= 0))),
+        Rule("time_delta_invalid", whole & ~absent("target_time_delta_min") & ~(limited("target_time_delta_min") & (read("target_time_delta_min") >= 0))),
     ]
     if biomarker is not None:
         rules.append(Rule("biomarker_mismatch", whole & (low("biomarker") != biomarker.strip().lower())))
@@ -178,9 +203,9 @@ def intake_rules(biomarker: str | None = None, unit: str | None = None) -> list[
     there, _ = _whole_box()
     rules = [
         *(Rule(f"missing_{c}", absent(c)) for c in texts),
-        Rule("target_not_numeric", number("target_value").isNull()),
+        Rule("target_not_numeric", read("target_value").isNull()),
         *(Rule(f"missing_{c}", absent(c)) for c in settings),
-        *(Rule(f"{c}_invalid", ~absent(c) & F.coalesce(number(c) < 0, F.lit(True))) for c in settings),
+        *(Rule(f"{c}_invalid", ~absent(c) & F.coalesce(read(c) < 0, F.lit(True))) for c in settings),
         Rule("missing_white_balance_mode", absent("white_balance_mode")),
         Rule("white_balance_auto", low("white_balance_mode").isin("auto", "awb", "automatic")),
         Rule("illumination_unsupported", ~F.coalesce(low("illumination").isin(*ILLUMINATION), F.lit(False))),
@@ -204,7 +229,7 @@ def pair_rules(required: Sequence[str] = ("device_model", "exposure_us", "iso"),
     same = lambda c: F.col(f"flash_{c}").cast("string") == F.col(f"ambient_{c}").cast("string")
     rules = [Rule(f"{c}_differs", ~F.coalesce(same(c), F.lit(False))) for c in required]
     rules += [Rule(f"{c}_differs", (F.col(f"flash_{c}").isNotNull() | F.col(f"ambient_{c}").isNotNull()) & ~F.coalesce(same(c), F.lit(False))) for c in optional]
-    return [*rules, Rule("white_balance_auto", low("flash_white_balance_mode").isin("auto", "awb"))]
+    return [*rules, Rule("white_balance_auto", F.lower(stripped("flash_white_balance_mode")).isin("auto", "awb"))]
 
 
 def target_report(df: DataFrame, biomarker: str | None = None, unit: str | None = None, unique: bool = True) -> DataFrame:

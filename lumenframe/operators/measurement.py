@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_col, beside, finite, guarded, pearson, ratio
-from ..functions.ordering import quantiles, running_total
+from ..functions.ordering import indexed, quantiles, running_total
+from ..functions.slopes import median_slope
 from ..plans.staging import written
 
 Z = 1.96
@@ -114,16 +115,17 @@ def subgroup_robustness(df: DataFrame, subgroup: str = "device_model", reference
         F.count("*").alias("n_pairs"), F.avg("r").alias("mean_reference"), F.avg("m").alias("mean_measurement"), F.avg(e).alias("mean_bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (100 * F.try_divide(F.avg(e), F.avg("r"))).alias("relative_bias_percent"), F.sum(F.abs(e)).alias("_abs"), F.sum(e * e).alias("_square"), F.sum("n_bad").alias("_bad"), F.count_if(F.col("subject").isNull()).alias("_null"),
     )
-    over = W.partitionBy()
+    total = groups.agg(*(F.sum(c).alias(f"_all{c}") for c in ("n_pairs", "_abs", "_square")))
+    groups = beside(groups, total)
     rules = {
         "values must be finite numbers": F.col("_bad") > 0,
         "identifiers must be present": (F.col("_null") > 0) | F.col("subgroup").isNull(),
         f"each subgroup needs {least} paired subjects": F.col("n_pairs") < least,
-        "at least three paired subjects are required": F.sum("n_pairs").over(over) < 3,
+        "at least three paired subjects are required": F.col("_alln_pairs") < 3,
     }
-    n = F.sum("n_pairs").over(over)
-    out = groups.withColumns({"overall_mae": F.sum("_abs").over(over) / n, "overall_rmse": F.sqrt(F.sum("_square").over(over) / n), "mean_bias": guarded(F.col("mean_bias"), rules)})
-    return out.drop("_abs", "_square", "_bad", "_null")
+    n = F.col("_alln_pairs")
+    out = groups.withColumns({"overall_mae": F.col("_all_abs") / n, "overall_rmse": F.sqrt(F.col("_all_square") / n), "mean_bias": guarded(F.col("mean_bias"), rules)})
+    return out.drop("_abs", "_square", "_bad", "_null", *total.columns)
 
 
 def acquisition_perturbation(df: DataFrame, reference_condition: str, value: str = "measurement_value", subject: str = "patient_id", factor: str = "perturbation") -> DataFrame:
@@ -160,10 +162,10 @@ def repeatability(df: DataFrame, value: str = "measurement_value", subject: str
 
 
 def temporal_stability(df: DataFrame, value: str = "measurement_value", session: str = "session_id") -> DataFrame:
-    """Drift of session means against the first session. Sessions are summaries: their number is small."""
+    """Drift of session means against the first session."""
     s = df.groupBy(F.col(session).alias("session")).agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count("*").alias("n"), F.count_if(~finite(value)).alias("bad"))
-    w = W.orderBy("session")
-    s = s.withColumns({"x": F.row_number().over(w) - 1, "base": F.first("mean").over(w)})
+    s = written(indexed(s.withColumn("_last", F.col("session").isNull()), ["_last", "session"], "x"), "sessions")
+    s = beside(s, s.agg(F.min_by("mean", "x").alias("base")))
     rules = {"values must be finite numbers": F.sum("bad") > 0, "sessions must be present": F.count_if(F.col("session").isNull()) > 0, "at least two sessions are required": F.count("*") < 2, "the first session's mean must not be zero": F.first("base") == 0}
     return s.agg(
         guarded(F.sum("n"), rules).cast("long").alias("n_rows"), F.count("*").alias("n_sessions"), F.first("base").alias("baseline_mean"), (100 * F.try_divide(F.stddev_samp("mean"), F.abs(F.avg("mean")))).alias("session_mean_cv_percent"),
@@ -171,17 +173,26 @@ def temporal_stability(df: DataFrame, value: str = "measurement_value", session:
     )
 
 
-def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """``df`` with the rank of ``column`` from 1, ties sharing their mean rank. Ranks come from counts of distinct values, summed up in ranges and joined back."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    below = running_total(counts, ["_v"], "_n", "_below")
-    return df.join(below.select("_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(alias)), F.col(column) == F.col("_v"), "left").drop("_v")
+def stacked_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with rank_<column> for each of ``columns``, from 1, ties sharing their mean rank, null for null.
+
+    Counts of the distinct values of all columns are stacked in one table, summed up in ranges by one sort, and joined back.
+    """
+    each = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))
+    counts = df.select(F.explode(each).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    below = running_total(counts, ["c", "v"], "n", "below")
+    first = {r["c"]: r["k"] for r in below.groupBy("c").agg(F.min("below").alias("k")).collect()}
+    out = df
+    for c in columns:
+        rank = (F.col("below") - F.lit(first.get(c, 0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}")
+        out = out.join(below.where(F.col("c") == c).select(F.col("v").alias("_v"), rank), F.col(c).cast("double") == F.col("_v"), "left").drop("_v")
+    return out
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """The rank correlation; null for fewer than three rows or a constant."""
-    ranked = average_ranks(average_ranks(df.select(F.col(x).alias("x"), F.col(y).alias("y")), "x", "rx"), "y", "ry")
-    return ranked.agg(F.when(F.count("*") >= 3, pearson("rx", "ry")).alias("spearman"))
+    ranked = stacked_ranks(df.select(F.col(x).alias("x"), F.col(y).alias("y")), ("x", "y"))
+    return ranked.agg(F.when(F.count("*") >= 3, pearson("rank_x", "rank_y")).alias("spearman"))
 
 
 def residual_strata(pairs: DataFrame, n_bins: int = 4) -> DataFrame:
@@ -197,8 +208,7 @@ def residual_strata(pairs: DataFrame, n_bins: int = 4) -> DataFrame:
 def residual_diagnostics(df: DataFrame, reference: str = "reference_value", measurement: str = "measurement_value", subject: str = "patient_id") -> DataFrame:
     """Residual level, spread and dependence on the reference."""
     pairs = written(paired(df, reference, measurement, subject), "pairs").withColumn("res", F.col("m") - F.col("r")).withColumn("abs", F.abs("res"))
-    ranked = average_ranks(average_ranks(average_ranks(pairs, "r", "rank_r"), "res", "rank_res"), "abs", "rank_abs")
-    ranked = average_ranks(ranked, "m", "rank_m")
+    ranked = stacked_ranks(pairs, ("r", "res", "abs", "m"))
     return ranked.agg(
         guarded(F.sum("n_rows"), _rules(3) | {"a reference of zero has no relative error": F.count_if(F.col("r") == 0) > 0}).cast("long").alias("n_rows"), F.count("*").alias("n_pairs"), F.avg("r").alias("mean_reference"), F.avg("m").alias("mean_measurement"),
         F.avg("res").alias("mean_residual"), F.stddev_samp("res").alias("residual_sd"), F.avg("abs").alias("mae"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rmse"), (100 * F.avg(F.try_divide(F.col("abs"), F.abs("r")))).alias("mean_absolute_relative_error_percent"),
@@ -230,8 +240,27 @@ def _slopes(blocks: pd.DataFrame) -> np.ndarray:
     return dy[use] / dx[use]
 
 
+#: Points that one task may hold: about 100 bytes each.
+ONE_TASK = 2_000_000
+
+
+def slope_median(pairs: DataFrame) -> float:
+    """The median slope of all pairs of points (Theil-Sen): in n log n in one task up to ONE_TASK points, else counted by blocks."""
+    points = pairs.where("r is not null and m is not null").select("subject", "r", "m")
+    if points.limit(ONE_TASK + 1).count() > ONE_TASK:
+        return pairwise_slope_median(points)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slope": [median_slope(pdf["r"].to_numpy(), pdf["m"].to_numpy(), np.ones(len(pdf), np.int64))]})
+
+    slope = points.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "slope double").first()
+    if slope is None or np.isnan(slope[0]):
+        raise ValueError("no two points differ in x")
+    return float(slope[0])
+
+
 def pairwise_slope_median(pairs: DataFrame, width: int = 16384, few: int = 200_000) -> float:
-    """The median slope of all pairs of points (Theil-Sen), without emitting the pairs.
+    """The median slope of all pairs of points (Theil-Sen), without emitting the pairs and without all points in one task.
 
     Points are put into blocks and each two blocks meet in one task, which counts its slopes by angle. Only the step of
     angles that holds the median is counted again, finer, until few slopes are left in it; those are ranked exactly.
@@ -290,10 +319,9 @@ def pairwise_slope_median(pairs: DataFrame, width: int = 16384, few: int = 200_0
     return float(np.mean([ranked(k, low, high, counts) for k in sorted({(total - 1) // 2, total // 2})]))
 
 
-def method_comparison(df: DataFrame, reference: str = "reference_value", measurement: str = "measurement_value", subject: str = "patient_id", variance_ratio: float = 1.0) -> DataFrame:
-    """Deming and median-of-slopes regression of subject means."""
-    pairs = written(paired(df, reference, measurement, subject), "pairs")
-    slope = pairwise_slope_median(pairs)
+def compared(pairs: DataFrame, variance_ratio: float = 1.0) -> DataFrame:
+    """Deming and median-of-slopes regression of subject means (see ``paired``)."""
+    slope = slope_median(pairs)
     base = pairs.agg(guarded(F.sum("n_rows"), _rules(3)).cast("long").alias("n_rows"), F.count("*").alias("n_pairs"), F.avg("r").alias("mean_reference"), F.avg("m").alias("mean_measurement"), *deming("r", "m", variance_ratio), F.lit(median(pairs, F.col("m") - F.lit(slope) * F.col("r"))).alias("passing_bablok_intercept"))
     return base.withColumns({"passing_bablok_slope": F.lit(slope), "variance_ratio": F.lit(variance_ratio)})
 

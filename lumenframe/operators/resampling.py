@@ -10,6 +10,7 @@ and left out, and too few left make the interval null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
 from ..functions.slopes import median_slope
 from ..plans.staging import written
-from .measurement import median
+from .measurement import compared, median, paired
 
 
 def draw(seed: int, rep: Column, position: Column, units: int) -> Column:
@@ -29,9 +30,9 @@ def draw(seed: int, rep: Column, position: Column, units: int) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.lit(units)
 
 
-def draws(spark: SparkSession, units: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, idx): the unit that each draw of each replicate takes, for replicates 0 to ``replicates`` - 1. Draws are numbered through, so that any range of them is made where it is used."""
-    each = spark.range(replicates * units).select(F.expr(f"id div {units}").alias("rep"), (F.col("id") % units).alias("position"))
+def draws(spark: SparkSession, units: int, replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """(rep, idx): the unit that each draw of each replicate takes, for ``replicates`` of them from number ``first`` on. Draws are numbered through, so that any range of them is made where it is used."""
+    each = spark.range(first * units, (first + replicates) * units).select(F.expr(f"id div {units}").alias("rep"), (F.col("id") % units).alias("position"))
     return each.select("rep", draw(seed, F.col("rep"), F.col("position"), units).alias("idx"))
 
 
@@ -95,11 +96,16 @@ def agreement_bootstrap(pairs: DataFrame, **how) -> DataFrame:
     return bootstrap(sums(pairs, "r", "m", ["subject"]), ["subject"], ("bias", "mae", "rmse", "loa_low", "loa_high"), **how)
 
 
-def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, most_units: int | None = None) -> DataFrame:
+SLOPES = ("deming_slope", "deming_intercept", "passing_bablok_slope", "passing_bablok_intercept")
+ATTEMPTS = 5
+
+
+def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, variance_ratio: float = 1.0, most_units: int | None = None) -> DataFrame:
     """Intervals of Deming and median-of-slopes coefficients over subjects.
 
     A median of slopes has no sufficient statistics: each replicate's subjects meet in one task, whose memory is linear in
-    their number, as slopes are counted and not built. More than ``most_units`` subjects fail only where a caller sets it.
+    their number, as slopes are counted and not built. Replicates without a slope are replaced by the next ones, up to ATTEMPTS times as many as
+    asked for; too few that have one fail. More than ``most_units`` subjects fail only where a caller sets it.
     """
     placed = written(indexed(pairs.select("subject", "r", "m"), ["subject"]), "units")
     n = placed.count()
@@ -114,18 +120,32 @@ def slope_bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 42, mo
         slope = median_slope(pdf["r"].to_numpy(), pdf["m"].to_numpy(), times)
         sxx, syy, sxy = x.var(ddof=1), y.var(ddof=1), np.cov(x, y)[0, 1]
         if sxx == 0 or sxy == 0 or np.isnan(slope):
-            return pd.DataFrame({"rep": [], "deming_slope": [], "deming_intercept": [], "passing_bablok_slope": [], "passing_bablok_intercept": []}).astype({"rep": "int64"})
-        d = syy - sxx
-        deming = (d + np.sqrt(d * d + 4 * sxy * sxy)) / (2 * sxy)
+            return pd.DataFrame({"rep": [], **{c: [] for c in SLOPES}}).astype({"rep": "int64"})
+        d = syy - variance_ratio * sxx
+        deming = (d + np.sqrt(d * d + 4 * variance_ratio * sxy * sxy)) / (2 * sxy)
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "deming_slope": [deming], "deming_intercept": [y.mean() - deming * x.mean()], "passing_bablok_slope": [slope], "passing_bablok_intercept": [float(np.median(y - slope * x))]})
 
-    names = ("deming_slope", "deming_intercept", "passing_bablok_slope", "passing_bablok_intercept")
-    taken = draws(pairs.sparkSession, n, replicates, seed).groupBy("rep", "idx").agg(F.count("*").alias("times"))
-    reps = taken.join(placed, "idx").groupBy("rep").applyInPandas(fit, "rep long, " + ", ".join(f"{c} double" for c in names))
-    long = reps.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in names))).alias("x")).select("x.metric", "x.v")
+    schema = "rep long, " + ", ".join(f"{c} double" for c in SLOPES)
+    parts, have, asked = [], 0, 0
+    while have < replicates and asked < ATTEMPTS * replicates:
+        more = min(max(replicates - have, 1), ATTEMPTS * replicates - asked)
+        taken = draws(pairs.sparkSession, n, more, seed, asked).groupBy("rep", "idx").agg(F.count("*").alias("times"))
+        parts.append(written(taken.join(placed, "idx").groupBy("rep").applyInPandas(fit, schema), "slopes"))
+        have, asked = have + parts[-1].count(), asked + more
+    if have < replicates:
+        raise ValueError("too few replicates have a slope")
+    long = reduce(DataFrame.union, parts).select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in SLOPES))).alias("x")).select("x.metric", "x.v")
     return long.groupBy("metric").agg(F.expr("percentile(v, array(0.025, 0.975))").alias("q"), F.count("v").alias("n_defined")).select("metric", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "n_defined")
 
 
+def method_comparison(df: DataFrame, reference: str = "reference_value", measurement: str = "measurement_value", subject: str = "patient_id", variance_ratio: float = 1.0, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Deming and median-of-slopes regression of subject means, each coefficient with its bootstrap interval."""
+    pairs = written(paired(df, reference, measurement, subject), "pairs")
+    points = compared(pairs, variance_ratio)
+    wide = slope_bootstrap(pairs, replicates, seed, variance_ratio).groupBy().agg(*(F.max(F.when(F.col("metric") == c, F.col(end))).alias(f"{c}_ci_{name}") for c in SLOPES for end, name in (("lower", "low"), ("upper", "high"))))
+    return beside(points, wide)
+
+
 PER_RANGE = 100_000
 
 

@@ -227,10 +227,22 @@ w as (select count(*) filter (v.mae <= o.mae) as mae, count(*) filter (v.rmse <=
     return f"select metric, estimate, lower, upper, p_value, n_units, n_bootstrap from ({boot}) left join ({tests}) using (metric)"
 
 
+def _nested_sql(outer: int = 5, inner: int = 4) -> str:
+    fold = lambda n: f"(case when (k // {n}) % 2 = 0 then k % {n} else {n - 1} - k % {n} end)::int"
+    return f"""with {_F}, sizes as (select patient_id, count(*) as size from f group by 1), outer_ as materialized (select patient_id, size, {fold(outer)} as held from (select *, row_number() over (order by size desc, patient_id) - 1 as k from sizes)),
+inner_ as materialized (select patient_id, o, {fold(inner)} as part from (select patient_id, o, row_number() over (partition by o order by size desc, patient_id) - 1 as k from outer_, range({outer}) t(o) where held <> o)),
+train as materialized (select o, part, f.* from inner_ join f using (patient_id)), shown as (select i, train.* from train, range({inner}) t(i) where part <> i),
+{equations.gram('g', 'shown', FEATURES, ['t'], by=('o', 'i'))}, ga as (select * from g, (values (0.1::double), (1.0), (10.0)) v(alpha)), {equations.ridge('fit', 'ga', 4, 'alpha')},
+loss as (select o, i, alpha, avg(abs({equations.reading(FEATURES, 'm.')} - t)) as mae from train join fit m using (o) where train.part = m.i group by all), best as (select o, arg_min(alpha, (loss, alpha)) as alpha from (select o, alpha, sum(mae) as loss from loss group by all) group by o),
+{equations.gram('h', 'train', FEATURES, ['t'], by=('o',))}, hb as (select * from h join best using (o)), {equations.ridge('last', 'hb', 4, 'alpha')},
+e as (select o, alpha, {equations.reading(FEATURES, 'm.')} - t as e from outer_ join f using (patient_id) join last m on m.o = held)
+select o::int as fold, alpha, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse from e group by all"""
+
+
 def _external_sql() -> str:
     from .statistics import _metrics
 
     return f"with {_F}, e as (select t, 20 * f3 - 20 as p from f where split_name = 'validation') select {_metrics('t', 'p')}, 'linear reading' as model, round(avg((t between p - 5 and p + 5)::int), 6) as coverage, round(avg((p + 5) - (p - 5)), 6) as mean_width, round(median((p + 5) - (p - 5)), 6) as median_width from e"
 
 
-SQL = {"gate_checks": _gate_sql(), "external_evaluation": _external_sql(), "linear_baselines": _baselines_sql(), "affine_calibration": _affine_sql(), "conformal_experiment": _conformal_sql(), "benchmark_report": _benchmark_sql()}
+SQL = {"gate_checks": _gate_sql(), "external_evaluation": _external_sql(), "nested_selection": _nested_sql(), "linear_baselines": _baselines_sql(), "affine_calibration": _affine_sql(), "conformal_experiment": _conformal_sql(), "benchmark_report": _benchmark_sql()}

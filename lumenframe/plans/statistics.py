@@ -105,7 +105,11 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return one(m.method_comparison(measured(spark, d)))
+    return one(m.compared(written(m.paired(measured(spark, d)), "pairs")))
+
+
+def method_comparison_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return one(r.method_comparison(measured(spark, d), replicates=REPLICATES))
 
 
 def _device_mae(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         measurement_agreement, captures_agreement, regression_metrics, bland_altman, coverage_under_uncertainty, grouped_regression, uncertainty_interval, subgroup_metrics, subgroup_robustness, calibration_transfer,
-        acquisition_perturbation, repeatability, temporal_stability, residual_diagnostics, residual_strata, spearman, method_comparison, device_robustness, interval_metrics, abstention,
+        acquisition_perturbation, repeatability, temporal_stability, residual_diagnostics, residual_strata, spearman, method_comparison, method_comparison_intervals, device_robustness, interval_metrics, abstention,
         row_bootstrap, cluster_bootstrap, agreement_bootstrap, slope_bootstrap, permutation_test, interval_calibration, split_conformal, predict_interval,
     )
 }
@@ -221,6 +225,10 @@ d as (select rep, {_DRAW} c) as idx from range({REPLICATES}) t(rep), n_units, la
 
 _PAIR_UNITS = f"select subject, {_SUMS} from (select subject, r as y, m as p from pr) group by subject"
 
+_POINTS = f"""with {_MEAS}, v as (select var_samp(r) as sxx, var_samp(m) as syy, covar_samp(r, m) as sxy, avg(r) as mr, avg(m) as mm, sum(k)::bigint as n_rows, count(*) as n_pairs from pr), dm as (select *, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) as slope from v),
+pb as (select median((b.m - a.m) / (b.r - a.r)) as slope from pr a join pr b on a.subject < b.subject and a.r <> b.r)
+select n_rows, n_pairs, round(mr, 6) as mean_reference, round(mm, 6) as mean_measurement, round(dm.slope, 6) as deming_slope, round(mm - dm.slope * mr, 6) as deming_intercept, round(pb.slope, 6) as passing_bablok_slope, (select round(median(m - pb.slope * r), 6) from pr) as passing_bablok_intercept, 1.0::double as variance_ratio from dm, pb"""
+
 SQL = {
     "measurement_agreement": f"with {_MEAS} {_agreement('pr')}",
     "captures_agreement": f"""with c as (select patient_id, target_value as rv, target_value * (1 + coalesce(incidence_angle_deg, 0) / 1000) - coalesce(working_distance_mm, 0) / 2000 as mv from captures where target_value is not null and not isnan(target_value) and patient_id is not null and device_model is not null),
@@ -249,9 +257,6 @@ select sum(k)::bigint as n_rows, count(*) as n_pairs, round(avg(r), 6) as mean_r
     "residual_strata": f"""with {_MEAS}, e as (select unnest(list_distinct(quantile_cont(r, [0.25, 0.5, 0.75]))) as x, min(r) as lo, max(r) as hi from pr), i as (select x from e where x > lo and x < hi), s as (select r, m - r as res, (select count(*) from i where x < r)::int as stratum from pr)
 select stratum, count(*) as n, round(avg(r), 6) as reference_mean, round(avg(res), 6) as residual_mean, round(stddev_samp(res), 6) as residual_sd, round(avg(abs(res)), 6) as mae from s group by stratum""",
     "spearman": f"with {_PRED}, k as ({_ranks('pred', 'y', 'y', 'p')}) select {_corr('rank_y', 'rank_p')} as spearman from k",
-    "method_comparison": f"""with {_MEAS}, v as (select var_samp(r) as sxx, var_samp(m) as syy, covar_samp(r, m) as sxy, avg(r) as mr, avg(m) as mm, sum(k)::bigint as n_rows, count(*) as n_pairs from pr), dm as (select *, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) as slope from v),
-pb as (select median((b.m - a.m) / (b.r - a.r)) as slope from pr a join pr b on a.subject < b.subject and a.r <> b.r)
-select n_rows, n_pairs, round(mr, 6) as mean_reference, round(mm, 6) as mean_measurement, round(dm.slope, 6) as deming_slope, round(mm - dm.slope * mr, 6) as deming_intercept, round(pb.slope, 6) as passing_bablok_slope, (select round(median(m - pb.slope * r), 6) from pr) as passing_bablok_intercept, 1.0::double as variance_ratio from dm, pb""",
     "device_robustness": f"""with {_PRED}, e as (select y, grp, 'scaled' as model, p from pred union all select y, grp, 'shifted', p + 500 from pred union all select y, grp, 'mean', 38000 from pred), g as (select model, grp = 'R' as held, avg(abs(p - y)) as mae, sqrt(avg((p - y) * (p - y))) as rmse from e group by all)
 select a.model, round(a.mae, 6) as mae_source, round(b.mae, 6) as mae_held_out, round(a.rmse, 6) as rmse_source, round(b.rmse, 6) as rmse_held_out, round((b.mae - a.mae) / a.mae, 6) as mae_relative_change, round((b.rmse - a.rmse) / a.rmse, 6) as rmse_relative_change from g a join g b on a.model = b.model and not a.held and b.held""",
     "interval_metrics": f"with {_PRED} select count(*) as n, round(avg((y between lo and hi)::int), 6) as coverage, round(avg(hi - lo), 6) as mean_width, round(median(hi - lo), 6) as median_width from pred",
@@ -276,3 +281,6 @@ select sum(n)::bigint as n_rows, count(*) as n_subjects, round(sum(hit) / sum(n)
     "predict_interval": f"""with {_PRED}, s as (select abs(p - y) as score, row_number() over (order by abs(p - y)) as k, count(*) over () as n from pred where grp = 'A'), q as (select score as q from s where k = least(n, greatest(1, ceil((n + 1) * 0.9))))
 select count(*) as n, round(avg((y between p - q and p + q)::int), 6) as coverage, round(avg((p + q) - (p - q)), 6) as mean_width, round(median((p + q) - (p - q)), 6) as median_width from pred, q where grp <> 'A'""",
 }
+
+SQL["method_comparison"] = _POINTS
+SQL["method_comparison_intervals"] = f"""select * from ({_POINTS}), (select {', '.join(f"max({end}) filter (metric = '{c}') as {c}_ci_{name}" for c in r.SLOPES for end, name in (('lower', 'low'), ('upper', 'high')))} from ({SQL['slope_bootstrap']}))"""

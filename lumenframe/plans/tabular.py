@@ -46,9 +46,7 @@ def gate_intake(spark: SparkSession, d: str) -> DataFrame:
 def gate_passed(spark: SparkSession, d: str) -> DataFrame:
     """Every gate with its rows that fail."""
     c = _captures(spark, d)
-    gates = {"canonical": g.canonical_rules(), "acquisition": g.acquisition_rules(), "target": g.target_rules(), "identity": g.partition_identity(c)}
-    parts = [g.passed(c, r).select(F.lit(k).alias("gate"), "*") for k, r in gates.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return g.passed_all(c, {"canonical": g.canonical_rules(), "acquisition": g.acquisition_rules(), "target": g.target_rules(), "identity": g.partition_identity(c)})
 
 
 def gate_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.ordering import indexed, order_statistics, quantiles
 from lumenframe.operators import measurement as m
+from lumenframe.operators import resampling
 from tests.conftest import one, rows
 
 
@@ -78,7 +79,7 @@ def test_residuals(spark):
 
 
 def test_method_comparison(spark):
-    r = one(m.method_comparison(frame(spark, [(str(i), 10.0 + i, 1.05 * (10 + i) + 0.4) for i in range(10)])))
+    r = one(resampling.method_comparison(frame(spark, [(str(i), 10.0 + i, 1.05 * (10 + i) + 0.4) for i in range(10)])))
     assert r["deming_slope"] == pytest.approx(1.05) and r["deming_intercept"] == pytest.approx(0.4) and r["passing_bablok_slope"] == pytest.approx(1.05)
 
 
@@ -121,7 +122,7 @@ def test_order_statistics(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.normal(size=5000), 2)
     df = spark.createDataFrame([(float(x),) for x in v], "x double")
-    assert order_statistics(df, "x", [0, 17, 4999], width=8, small=50) == [np.sort(v)[k] for k in (0, 17, 4999)]
+    assert order_statistics(df, "x", [0, 17, 4999], small=50) == [np.sort(v)[k] for k in (0, 17, 4999)]
     assert quantiles(df, "x", [0, 0.25, 0.5, 1]) == pytest.approx(list(np.quantile(v, [0, 0.25, 0.5, 1])))
     assert quantiles(df.where("false"), "x", [0.5]) == []
     assert sorted(r["idx"] for r in indexed(df.distinct(), ["x"]).collect()) == list(range(len(np.unique(v))))

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.functions.slopes import median_slope
 from lumenframe.operators import resampling as r
@@ -148,3 +149,31 @@ def test_permutations_in_ranges_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(resampling, "PER_RANGE", 7)
     got = rows(resampling.permutation_tests(df, "y", "p", "id", permutations=30))
     assert [r[:2] + r[4:] for r in got] == [r[:2] + r[4:] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_slope_replicates_are_replaced(spark):
+    flat = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 2.0), ("c", 2.0, 3.0)], "subject string, r double, m double")
+    got = {q["metric"]: q for q in r.slope_bootstrap(flat, 40).collect()}
+    assert all(q["n_defined"] == 40 for q in got.values())
+    with pytest.raises(ValueError, match="too few"):
+        r.slope_bootstrap(flat.withColumn("r", F.lit(1.0)), 10)
+
+
+def test_slope_median_in_one_task_and_by_blocks(spark, monkeypatch):
+    from lumenframe.operators import measurement
+
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 30, 200).astype(float), rng.normal(size=200)
+    df = spark.createDataFrame([(str(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "subject string, r double, m double")
+    want = np.median([(y[j] - y[i]) / (x[j] - x[i]) for i in range(200) for j in range(i) if x[i] != x[j]])
+    assert measurement.slope_median(df) == pytest.approx(want)
+    monkeypatch.setattr(measurement, "ONE_TASK", 10)
+    assert measurement.slope_median(df) == pytest.approx(want)
+
+
+def test_stacked_ranks(spark):
+    from lumenframe.operators import measurement
+
+    df = spark.createDataFrame([(1, 3.0, 2.0), (2, 1.0, None), (3, 3.0, 5.0), (4, None, 2.0)], "i int, x double, y double")
+    got = {q["i"]: (q["rank_x"], q["rank_y"]) for q in measurement.stacked_ranks(df, ("x", "y")).collect()}
+    assert got == {1: (2.5, 1.5), 2: (1.0, None), 3: (2.5, 3.0), 4: (None, 1.5)}
