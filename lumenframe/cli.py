@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import adapters, gates, images, relations
+from .packages import ship
 from .plans.staging import discard, written
 from .schema import CANONICAL, ColumnMapping
 from .sources import files, sinks
@@ -223,6 +224,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
+    if not spark.sparkContext.master.startswith("local["):
+        ship(spark)
     try:
         report, ok = args.run(spark, args)
     finally:

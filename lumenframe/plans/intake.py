@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import column_quality as quality
 from ..operators import schema_drift as drift
-from ..sources.chunks import chunks, value_counts
+from ..sources.chunks import chunks, column_profile, value_counts
 from ..sources.tables import table
 from .staging import written
 
@@ -34,6 +34,14 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).select("load_id", "site_code", "column_name", "rows", "nulls", "missing", "distinct_values", "numeric", "outside", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(q[1], 6).alias("median"), F.round(o[1], 6).alias("other_median"))
 
 
+PROFILED = (*MEASURED, "exposure_us", "iso", "image_width", "image_height")
+
+
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, nulls, extrema and distinct values of whole columns, from footers where these are exact."""
+    return column_profile(spark, f"{d}/intake_manifest.parquet", PROFILED).drop("from_footers", "scanned")
+
+
 def catalog(spark: SparkSession, d: str) -> list[str]:
     """Field names of the catalogue: a fixed list of a few names."""
     return [r["field_name"] for r in table(spark, d, "field_catalog").select("field_name").distinct().orderBy("field_name").collect()]
@@ -67,7 +75,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.union_table(rows, names, drift.union_schema(drift.file_fields(rows, names), names))
 
 
-QUERIES = {"p5_found": p5_found, "p5_profile": p5_profile, "p6_found": p6_found, "p6_log": p6_log, "p6_table": p6_table, "p6_spellings": p6_spellings}
+QUERIES = {"p5_found": p5_found, "p5_profile": p5_profile, "p5_columns": p5_columns, "p6_found": p6_found, "p6_log": p6_log, "p6_table": p6_table, "p6_spellings": p6_spellings}
 
 _WORDS = ", ".join(f"'{w}'" for w in quality.NO_VALUE)
 _P5 = rf"""long as (select load_id, site_code, biomarker, 'target_value' as column_name, target_value as v from intake_manifest
@@ -126,3 +134,7 @@ SQL |= {
 target as (select *, try_cast(coalesce(cbc, survey) as double) as v, case when cbc is not null then 'complete_blood_count' else 'survey' end as method from wide where id is not null), images as ({_IMAGES})
 select roi_type, method as reference_method, count(*) as images, round(avg(v), 6) as target, count(try_cast(iso as double)) as with_iso from images where path is not null and trim(path) <> '' and v is not null and not isnan(v) group by all""",
 }
+SQL["p5_columns"] = " union all ".join(
+    f"select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as nulls, {f'null::double as low_number, null::double as high_number, min({c}) as low_text, max({c}) as high_text' if c in MEASURED else f'min({c})::double as low_number, max({c})::double as high_number, null::varchar as low_text, null::varchar as high_text'}, count(distinct {c}) as distinct_values from intake_manifest"
+    for c in PROFILED
+)

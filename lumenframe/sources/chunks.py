@@ -74,8 +74,92 @@ def value_counts(spark: SparkSession, path: str, keys: Sequence[str], columns: S
                 yield from _chunk(p, group, keys, columns)
 
     schema = ", ".join(f"{k} string" for k in keys) + ", column_name string, value string, n long, source string"
-    todo = chunks(spark, path)
-    return todo.repartition(F.xxhash64("path", "row_group")).mapInArrow(count, schema)
+    return _dealt(spark, path).mapInArrow(count, schema)
+
+
+def extrema(column: Any, kind: pa.DataType) -> tuple[Any, Any] | None:
+    """(least, largest) of a chunk if its footer gives them exactly: always for numbers, dates and booleans, for texts if too short to have been cut. NaN counts for neither."""
+    s = column.statistics
+    if s is None or not s.has_null_count:
+        return None
+    if s.null_count == column.num_values or (s.num_values == 0 and s.null_count > 0):
+        return None, None
+    text = pa.types.is_string(kind) or pa.types.is_large_string(kind)
+    plain = text or pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
+    if not plain or not s.has_min_max or (text and max(len(str(s.min)), len(str(s.max))) >= EXACT_LENGTH):
+        return None
+    return s.min, s.max
+
+
+def chunk_statistics(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(column_name, rows, nulls, low_number, high_number, low_text, high_text, source) of each column of each chunk.
+
+    Footers answer where their nulls and extrema are exact; only the other chunks are read. ``source`` says which: footer or scan. A
+    column that a file lacks is null throughout. Numbers, and booleans as 0 and 1, have no text extrema, texts no numbers.
+    """
+    columns = list(columns)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, group in zip(b.column("path").to_pylist(), b.column("row_group").to_pylist(), strict=True):
+                file = open_file(p)
+                meta, schema = file.metadata.row_group(group), file.schema_arrow
+                by_name = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
+                for c in columns:
+                    if c not in by_name:
+                        out.append((c, meta.num_rows, meta.num_rows, None, None, None, None, "footer"))
+                        continue
+                    kind, ends, source = schema.field(c).type, extrema(by_name[c], schema.field(c).type), "footer"
+                    nulls = by_name[c].statistics.null_count if ends else None
+                    if ends is None:
+                        x, source = file.read_row_group(group, columns=[c], use_threads=False).column(0), "scan"
+                        found = pc.min_max(x)
+                        ends, nulls = (found["min"].as_py(), found["max"].as_py()), x.null_count
+                    text = [None if v is None else str(v) for v in ends]
+                    number = [None if v is None or not (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)) else float(v) for v in ends]
+                    out.append((c, meta.num_rows, nulls, *number, *(text if number == [None, None] else (None, None)), source))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=STATISTICS)
+
+    schema = "column_name string, rows long, nulls long, low_number double, high_number double, low_text string, high_text string, source string"
+    return _dealt(spark, path).mapInArrow(look, schema)
+
+
+STATISTICS = ["column_name", "rows", "nulls", "low_number", "high_number", "low_text", "high_text", "source"]
+
+
+def chunk_values(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value) of the distinct values of each column of each chunk, as text: the entries of its dictionary where it has one."""
+    columns = list(columns)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, group in zip(b.column("path").to_pylist(), b.column("row_group").to_pylist(), strict=True):
+                have = set(open_file(p).schema_arrow.names)
+                wanted = [c for c in columns if c in have]
+                data = open_coded(p, wanted).read_row_group(group, columns=wanted, use_threads=False) if wanted else None
+                for c in wanted:
+                    x = data.column(c)
+                    for part in x.chunks:
+                        names = part.dictionary if pa.types.is_dictionary(part.type) else pc.unique(part)
+                        names = pc.cast(names, pa.string()).drop_null()
+                        yield pa.RecordBatch.from_arrays([pa.array([c] * len(names), pa.string()), names], names=["column_name", "value"])
+
+    return _dealt(spark, path).mapInArrow(look, "column_name string, value string")
+
+
+def column_profile(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """column_name, rows, nulls, distinct_values, low and high (number or text) of whole columns, and how many chunks footers answered and how many were scanned for it."""
+    ends = [F.min("low_number").alias("low_number"), F.max("high_number").alias("high_number"), F.min("low_text").alias("low_text"), F.max("high_text").alias("high_text")]
+    sums = chunk_statistics(spark, path, columns).groupBy("column_name").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), *ends, F.count_if(F.col("source") == "footer").alias("from_footers"), F.count_if(F.col("source") == "scan").alias("scanned"))
+    distinct = chunk_values(spark, path, columns).distinct().groupBy("column_name").agg(F.count("*").alias("distinct_values"))
+    return sums.join(distinct, "column_name", "left").fillna(0, ["distinct_values"])
+
+
+def _dealt(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks, dealt to a fixed number of tasks, so that few of them aren't put together in one."""
+    return chunks(spark, path).repartition(4 * spark.sparkContext.defaultParallelism, "path", "row_group")
 
 
 def _chunk(path: str, group: int, keys: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:

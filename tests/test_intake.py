@@ -5,7 +5,7 @@ import pytest
 from lumenframe.operators import column_quality as q
 from lumenframe.operators import schema_drift as s
 from lumenframe.plans import intake
-from lumenframe.sources.chunks import value_counts
+from lumenframe.sources.chunks import column_profile, value_counts
 from tests.conftest import rows
 
 
@@ -21,6 +21,16 @@ def test_counts_come_from_footers_dictionaries_and_pages(spark, tmp_path):
     assert ("v", "pages") in {(r["column_name"], r["source"]) for r in value_counts(spark, str(tmp_path / "b.parquet"), ["load_id"], ["v"]).collect()}
 
 
+def test_footers_answer_and_only_other_chunks_are_read(spark, tmp_path):
+    t = pa.table({"i": [3, None, 7, 1], "x": [1.5, 2.5, None, None], "s": ["a", "b" * 100, "c", None], "b": [True, False, None, True]})
+    pq.write_table(t, tmp_path / "a.parquet", row_group_size=2)
+    pq.write_table(t.select(["i"]), tmp_path / "b.parquet", write_statistics=False)
+    got = {r["column_name"]: r for r in column_profile(spark, str(tmp_path), ["i", "x", "s", "b"]).collect()}
+    assert (got["i"]["rows"], got["i"]["nulls"], got["i"]["low_number"], got["i"]["high_number"], got["i"]["distinct_values"]) == (8, 2, 1.0, 7.0, 3)
+    assert (got["i"]["from_footers"], got["i"]["scanned"]) == (2, 1) and (got["x"]["scanned"], got["x"]["nulls"], got["x"]["high_number"]) == (0, 6, 2.5)
+    assert (got["s"]["low_text"], got["s"]["high_text"], got["s"]["scanned"]) == ("a", "c", 1) and got["b"]["high_number"] == 1.0
+
+
 def manifest(spark, loads):
     data = [(load, "S", "hemoglobin", v, "100.0", "10.0") for load, values in loads.items() for v in values]
     return spark.createDataFrame(data, "load_id int, site_code string, biomarker string, target_value string, working_distance_mm string, incidence_angle_deg string")
