@@ -19,6 +19,7 @@ CANDIDATES = {
     "device_model": ("device", "device_model", "smartphone", "phone_model", "camera_model"),
     "illumination": ("illumination", "light_intensity", "ambient_light", "lighting", "light"),
 }
+#: Words of booleans, modalities, camera keys, and words of light.
 TRUE, FALSE = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 MODALITIES = ("conjunctiva", "fingernails_open", "fingernails_closed", "tongue")
 EXPOSURE_KEYS, ISO_KEYS, FLASH_KEYS = ("android.sensor.exposureTime",), ("android.sensor.sensitivity",), ("android.flash.mode",)

@@ -135,7 +135,7 @@ def acquisition_perturbation(df: DataFrame, reference_condition: str, value: str
     e = F.col("v") - F.col("r")
     low, high = _limits(e)
     pairs = means.where(F.col("condition") != reference_condition).join(base, "subject")
-    return pairs.groupBy("condition").agg(F.count("*").alias("n_pairs"), F.avg(e).alias("mean_bias"), F.stddev_samp(e).alias("sd_bias"), (100 * F.try_divide(F.avg(e), F.abs(F.avg("r")))).alias("relative_bias_percent"), low, high)
+    return pairs.groupBy("condition").agg(F.count("*").alias("n_pairs"), F.avg(e).alias("mean_bias"), F.stddev_samp(e).alias("sd_bias"), (100 * F.try_divide(F.avg(e), F.abs(F.avg("r")))).alias("relative_bias_percent"), low, high).orderBy("condition")
 
 
 def repeatability(df: DataFrame, value: str = "measurement_value", subject: str = "patient_id", device: str = "device_model") -> DataFrame:

@@ -99,28 +99,36 @@ def require_patients(df: DataFrame, least: int, patient: str = "patient_id") ->
     return r["k"]
 
 
+def _dealt(df: DataFrame, groups: DataFrame, by: list[str], seed: int, train: float, validation: float, patient: str) -> DataFrame:
+    """``df`` with ``partition``, from ``groups`` (by, _p): patients of each ``by`` in order of a seeded hash, counted in sorted ranges."""
+    placed = indexed(groups.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), "_p").cast("binary"))), [*by, "_h", "_p"])
+    bounds = placed.groupBy(*by).agg(F.min("idx").alias("_first"), F.count("*").alias("_k"))
+    n_train = F.floor(F.col("_k") * train)
+    n_val = F.floor((F.col("_k") - n_train) * validation / (1 - train))
+    bounds = written(bounds.withColumns({"_train": n_train, "_val": n_val}), "bounds")
+    sizes = bounds.agg(F.count("*").alias("n"), F.min("_k").alias("k"), F.count_if((F.col("_train") < 1) | (F.col("_val") < 1) | (F.col("_train") + F.col("_val") >= F.col("_k"))).alias("bad")).first()
+    if not sizes["n"] or sizes["k"] < 4 or sizes["bad"]:
+        raise ValueError("at least four patients are required, and no partition may be empty")
+    place = F.col("idx") - F.col("_first")
+    part = F.when(place < F.col("_train"), "train").when(place < F.col("_train") + F.col("_val"), "validation").otherwise("test").alias("partition")
+    held = (placed.join(bounds, by) if by else beside(placed, bounds)).select(*by, "_p", part)
+    return df.withColumn("_p", stripped(patient)).join(written(held, "split"), [*by, "_p"]).drop("_p")
+
+
 def patient_split(df: DataFrame, seed: int = 42, train: float = 0.70, validation: float = 0.15, patient: str = "patient_id") -> DataFrame:
     """``df`` with ``partition``: patients in order of a seeded hash, the first share to train, half of the rest by the given shares.
 
     No patient is in two partitions; fewer than four patients or an empty partition fail.
     """
-    k = require_patients(df, 4, patient)
-    n_train = int(k * train)
-    n_val = int((k - n_train) * validation / (1 - train))
-    if not n_train or not n_val or n_train + n_val >= k:
-        raise ValueError("a partition would be empty")
-    groups = df.select(stripped(patient).alias("_p")).distinct().withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), "_p").cast("binary")))
-    placed = indexed(groups, ["_h", "_p"]).select("_p", F.when(F.col("idx") < n_train, "train").when(F.col("idx") < n_train + n_val, "validation").otherwise("test").alias("partition"))
-    return df.withColumn("_p", stripped(patient)).join(written(placed, "split"), "_p").drop("_p")
-
-
-def split_by(df: DataFrame, by: str = "biomarker", **how) -> DataFrame:
-    """``patient_split`` of each value of ``by``; a small enumeration."""
-    parts = [patient_split(df.where(F.col(by) == r[0]), **how) for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    require_patients(df, 4, patient)
+    return _dealt(df, df.select(stripped(patient).alias("_p")).distinct(), [], seed, train, validation, patient)
+
+
+def split_by(df: DataFrame, by: str = "biomarker", seed: int = 42, train: float = 0.70, validation: float = 0.15, patient: str = "patient_id") -> DataFrame:
+    """``patient_split`` of each value of ``by``, all in one pass; rows without one are left out."""
+    df = df.where(F.col(by).isNotNull())
+    require_patients(df, 4, patient)
+    return _dealt(df, df.select(by, stripped(patient).alias("_p")).distinct(), [by], seed, train, validation, patient)
 
 
 def unseen_device_split(df: DataFrame, held_out: str, device: str = "device_model", patient: str = "patient_id", strict: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..streaming.drift import last_states, session_means
+from ..streaming.drift import first_deliveries, last_states, session_means, written_stream
 from .staging import fresh_path
 
 
@@ -26,8 +26,17 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(last_states(session_means(_stream(spark, d, "events")), ["session"], fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")))
 
 
-QUERIES = {"stream_sessions": stream_sessions}
+def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The identifiers of messages, each once, as they arrive."""
+    out = fresh_path(spark, "stream")
+    first = first_deliveries(_stream(spark, d, "documents").select("message_id", "received_at"), ["message_id"])
+    written_stream(first.select("message_id"), out, fresh_path(spark, "stream-checkpoint"))
+    return spark.read.schema("message_id string").parquet(out)
+
+
+QUERIES = {"stream_sessions": stream_sessions, "stream_first_deliveries": stream_first_deliveries}
 SQL = {
+    "stream_first_deliveries": "select distinct message_id from documents",
     "stream_sessions": "select date_trunc('day', ts) as session, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd from events group by 1"
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import fields, make_dataclass
 
 from pyspark.sql import types as T
 
@@ -23,49 +23,25 @@ REFERENCE_TYPES = ("laboratory", "validated_reference")
 CANONICAL_SCHEMA = T.StructType([T.StructField(c, T.StringType() if c in _TEXT else T.BooleanType() if c == "raw_available" else T.DoubleType(), c not in REQUIRED) for c in CANONICAL])
 
 
-@dataclass(frozen=True)
-class ColumnMapping:
-    """Which raw column feeds which canonical one; three must be named."""
-
-    patient_id: str
-    image_path: str
-    target_value: str
-    image_id: str | None = None
-    target_source: str | None = None
-    reference_method: str | None = None
-    reference_measurement_id: str | None = None
-    reference_type: str | None = None
-    target_time_delta_min: str | None = None
-    roi_type: str | None = None
-    roi_x0: str | None = None
-    roi_y0: str | None = None
-    roi_x1: str | None = None
-    roi_y1: str | None = None
-    image_width: str | None = None
-    image_height: str | None = None
-    device_model: str | None = None
-    illumination: str | None = None
-    acquisition_id: str | None = None
-    exposure_us: str | None = None
-    iso: str | None = None
-    white_balance_mode: str | None = None
-    working_distance_mm: str | None = None
-    incidence_angle_deg: str | None = None
-    image_format: str | None = None
-    bit_depth: str | None = None
-    raw_available: str | None = None
-
+class _Mapping:
     def __post_init__(self) -> None:
-        for name in ("patient_id", "image_path", "target_value"):
+        for name in NAMED:
             value = getattr(self, name)
             if not value or not str(value).strip() or str(value).startswith("YOUR_"):
                 raise ValueError(f"the mapping of {name} is missing or still a placeholder")
 
     @classmethod
-    def from_yaml(cls, path: str) -> ColumnMapping:
+    def from_yaml(cls, path: str):
         import yaml
 
         with open(path, encoding="utf-8") as f:
             given = yaml.safe_load(f) or {}
         given = given.get("columns", given)
         return cls(**{f.name: given.get(f.name) for f in fields(cls)})
+
+
+#: Canonical columns that a mapping must name, and those it gives itself.
+NAMED, GIVEN = ("patient_id", "image_path", "target_value"), ("source_dataset", "biomarker", "target_unit")
+
+#: Which raw column feeds which canonical one: three must be named, others may be.
+ColumnMapping = make_dataclass("ColumnMapping", [*((c, str) for c in NAMED), *((c, str | None, None) for c in CANONICAL if c not in NAMED + GIVEN)], bases=(_Mapping,), frozen=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -47,10 +49,26 @@ def resolved(path: Column, root: str | None) -> Column:
     return path if root is None else F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
+PIECE = 1 << 23
+
+
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, sha256) of the files below ``root``; each file's bytes stay in one task."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return f.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """(path, name, length, sha256) of the files below ``root``, each read in its task piece by piece, whatever its length."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.column("path").to_pylist():
+                h = hashlib.sha256()
+                with open_input(p) as f:
+                    while piece := f.read(PIECE):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(out, pa.string())], names=["path", "length", "sha256"])
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+    f = f.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(hashed, "path string, length long, sha256 string")
+    return f.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "sha256")
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -65,16 +83,25 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return i.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "width", "height", (F.col("height") > 0).alias("readable"), "nChannels", "data")
 
 
-def open_output(path: str):
-    """A file to write, on any file system that Arrow knows; plain paths and file: URIs are local."""
-    from urllib.parse import unquote, urlsplit
-
+def _located(path: str) -> tuple:
+    """(file system, path in it); plain paths and file: URIs are local."""
     from pyarrow import fs
 
     parts = urlsplit(path)
-    system, inner = (fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+
+
+def open_input(path: str):
+    """A file to read, on any file system that Arrow knows."""
+    system, inner = _located(path)
+    return system.open_input_stream(inner, compression=None)
+
+
+def open_output(path: str):
+    """A file to write, on any file system that Arrow knows; folders are made."""
+    system, inner = _located(path)
     system.create_dir(str(PurePosixPath(inner).parent), recursive=True)
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)
 
 
 def encode_bmp(rgb: np.ndarray) -> bytes:
@@ -110,7 +137,7 @@ def inventory(spark: SparkSession, rows: DataFrame, root: str, path: str = "imag
 
 
 def inspect_videos(spark: SparkSession, manifest: DataFrame, root: str, path: str = "video_path", order: str = "row_id") -> DataFrame:
-    """``manifest`` with exists, sha256, duplicate_of (the first row with the same bytes) and, where a decoder is installed, fps, frames, width, height and readable.
+    """``manifest`` with exists, sha256, duplicate_of (the first row with the same bytes) and, where a decoder is installed, fps, decoded and reported frames, duration, width, height and readable.
 
     Without a decoder nothing counts as readable and the error says so.
     """
@@ -127,7 +154,7 @@ def inspect_videos(spark: SparkSession, manifest: DataFrame, root: str, path: st
         for pdf in batches:
             out = []
             for p, there in zip(pdf["_path"], pdf["exists"], strict=True):
-                fps = frames = width = height = None
+                fps = frames = width = height = reported = duration = None
                 error = None if there else "video not found"
                 if there and cv2 is None:
                     error = "no video decoder is installed"
@@ -137,15 +164,16 @@ def inspect_videos(spark: SparkSession, manifest: DataFrame, root: str, path: st
                         error = "video can't be opened"
                     else:
                         fps, width, height = v.get(cv2.CAP_PROP_FPS), int(v.get(cv2.CAP_PROP_FRAME_WIDTH)), int(v.get(cv2.CAP_PROP_FRAME_HEIGHT))
-                        frames = 0
+                        frames, reported = 0, int(v.get(cv2.CAP_PROP_FRAME_COUNT))
+                        duration = reported / fps if fps > 0 else None
                         while v.read()[0]:
                             frames += 1
                         error = None if frames and fps > 0 else "no frame can be decoded"
                     v.release()
-                out.append((fps, frames, width, height, there and error is None, error))
-            names = ["fps", "decoded_frames", "width", "height", "readable", "error"]
-            yield pd.concat([pdf[[order]].reset_index(drop=True), pd.DataFrame(out, columns=names).astype({"fps": "float64", "decoded_frames": "Int64", "width": "Int64", "height": "Int64", "readable": "bool"})], axis=1)
+                out.append((fps, frames, width, height, reported, duration, there and error is None, error))
+            names = ["fps", "decoded_frames", "width", "height", "reported_frames", "duration_s", "readable", "error"]
+            yield pd.concat([pdf[[order]].reset_index(drop=True), pd.DataFrame(out, columns=names).astype({"fps": "float64", "duration_s": "float64", "decoded_frames": "Int64", "reported_frames": "Int64", "width": "Int64", "height": "Int64", "readable": "bool"})], axis=1)
 
     kind = dict(manifest.dtypes)[order]
-    seen = found.select(order, "_path", "exists").mapInPandas(decode, f"`{order}` {kind}, fps double, decoded_frames long, width long, height long, readable boolean, error string")
+    seen = found.select(order, "_path", "exists").mapInPandas(decode, f"`{order}` {kind}, fps double, decoded_frames long, width long, height long, reported_frames long, duration_s double, readable boolean, error string")
     return first_repeat(found, "sha256", order).drop("_path").join(seen, order)
