@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
 from ..functions.slopes import median_slope
-from ..plans.staging import written
+from ..plans.staging import spread, written
 from .measurement import compared, median, paired
 
 
@@ -160,11 +160,13 @@ def permutation_tests(df: DataFrame, y: str, p: str, row_id: str, metrics: Seque
     if n < 2:
         raise ValueError("at least two rows are required")
     ranges = -(-n // PER_RANGE)
-    reps = placed.select("idx", "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
+    reps = spread(placed.select("idx", "p")).select("idx", "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string")).cast("binary"))
-    reps = reps.withColumn("key", key).withColumn("part", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32))
-    within = F.row_number().over(W.partitionBy("rep", "part").orderBy("key", "idx")) - 1
-    ranked = reps.select("rep", "part", "p", within.cast("long").alias("idx"))
+    reps, groups = reps.withColumn("key", key), ["rep"]
+    if ranges > 1:
+        reps, groups = reps.withColumn("part", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32)), ["rep", "part"]
+    within = F.row_number().over(W.partitionBy(*groups).orderBy("key", "idx")) - 1
+    ranked = reps.select(*groups, "p", within.cast("long").alias("idx"))
     if ranges > 1:
         held = reps.groupBy("rep", "part").agg(F.count("*").alias("held"))
         starts = held.select("rep", "part", F.coalesce(F.sum("held").over(W.partitionBy("rep").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
