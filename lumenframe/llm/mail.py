@@ -127,7 +127,7 @@ def _parts(head: str, body: str) -> tuple[list[str], list[str]]:
         else:
             entity = None
             either, _, p, r = stack.pop()
-            p, r = ((p, []) if any(map(str.strip, p)) else ([], r)) if either else (p, r)
+            p, r = (p if any(map(str.strip, p)) else r, []) if either else (p, r)
             stack[-1][2].extend(p)
             stack[-1][3].extend(r)
 

@@ -23,6 +23,9 @@ def test_nested_parts_have_no_limit():
     assert mail.own_lines(text) == ["Own words here."]
     both = 'Content-Type: multipart/alternative; boundary="q"\n\n--q\nContent-Type: text/plain\n\nplain\n--q\nContent-Type: text/html\n\n<p>rich</p>\n--q--\n'
     assert mail.own_lines(both) == ["plain"]
+    rich = both.replace("\nplain\n", "\n \n")
+    mixed = f'Content-Type: multipart/mixed; boundary="m"\n\n--m\n{rich}\n--m\nContent-Type: text/plain\n\nafter\n--m--\n'
+    assert mail.own_lines(mixed) == ["rich", "after"]
 
 
 @pytest.mark.parametrize(
