@@ -62,11 +62,12 @@ class ExperimentConfig:
             raise ValueError("the experiment's configuration is invalid")
 
 
-def benchmark(df: DataFrame, y: str, p: str, patient: str = "patient_id", row_id: str = "image_id", n_bootstrap: int = 2000, n_permutations: int = 2000, seed: int = 42) -> DataFrame:
-    """(metric, estimate, lower, upper, p_value): error metrics with patient bootstrap intervals, one set of draws for all, and permutation tests of mae and rmse."""
+def benchmark(df: DataFrame, y: str, p: str, patient: str = "patient_id", row_id: str = "image_id", n_bootstrap: int = 2000, n_permutations: int = 2000, seed: int = 42, manifest: str | None = None) -> DataFrame:
+    """(metric, estimate, lower, upper, p_value): error metrics with patient bootstrap intervals, one set of draws for all, and permutation tests of mae and rmse; with the experiment's hash, if given, on each."""
     ci = resampling.cluster_bootstrap(df, y, p, patient, replicates=n_bootstrap, seed=seed)
     tests = resampling.permutation_tests(df, y, p, row_id, ("mae", "rmse"), n_permutations, seed).select("metric", "p_value")
-    return ci.join(tests, "metric", "left").select("metric", "estimate", "lower", "upper", "p_value", "n_units", "n_bootstrap")
+    out = ci.join(tests, "metric", "left").select("metric", "estimate", "lower", "upper", "p_value", "n_units", "n_bootstrap")
+    return out if manifest is None else out.withColumn("manifest_hash", F.lit(manifest))
 
 
 def gate_report(partitions: DataFrame, partition: str, biomarker: str, unit: str) -> DataFrame:
@@ -77,14 +78,15 @@ def gate_report(partitions: DataFrame, partition: str, biomarker: str, unit: str
     return broken.union(shared.select(F.concat_ws("__", F.lit("overlap"), "kind", "a", "b").alias("check"), "n"))
 
 
-def quantitative_report(evaluation: DataFrame, others: DataFrame, config: ExperimentConfig, prediction: str = "prediction") -> dict:
-    """passed, errors and, only if there are none, the benchmark of keyed predictions."""
+def quantitative_report(evaluation: DataFrame, others: DataFrame, config: ExperimentConfig, prediction: str = "prediction", manifest: str | None = None) -> dict:
+    """passed, errors and, only if there are none, the error metrics and the benchmark of keyed predictions."""
     everything = evaluation.withColumn("_part", F.lit("evaluation")).unionByName(others, allowMissingColumns=True)
     errors = [f"{r['check']}: {r['n']}" for r in gate_report(everything, "_part", config.biomarker, config.target_unit).where("n > 0").orderBy("check").collect()]
     if errors:
-        return {"passed": False, "errors": errors, "benchmark": None}
-    rows = benchmark(evaluation, "target_value", prediction, n_bootstrap=config.n_bootstrap, n_permutations=config.n_permutations, seed=config.seed).collect()
-    return {"passed": True, "errors": [], "benchmark": {r["metric"]: r.asDict() for r in rows}}
+        return {"passed": False, "errors": errors, "metrics": None, "benchmark": None}
+    rows = benchmark(evaluation, "target_value", prediction, n_bootstrap=config.n_bootstrap, n_permutations=config.n_permutations, seed=config.seed, manifest=manifest).collect()
+    metrics = report_dict(measurement.regression_metrics(evaluation, "target_value", prediction))
+    return {"passed": True, "errors": [], "metrics": metrics, "benchmark": {r["metric"]: r.asDict() for r in rows}}
 
 
 def scientific_experiment(train: DataFrame, calibration: DataFrame, test: DataFrame, config: ExperimentConfig) -> dict:
@@ -99,11 +101,11 @@ def scientific_experiment(train: DataFrame, calibration: DataFrame, test: DataFr
     conformal = resampling.split_conformal(predict(calibration), "target_value", "prediction", config.alpha)
     predicted = resampling.predict_interval(predict(test), "prediction", conformal)
     intervals = report_dict(measurement.interval_metrics(predicted, "target_value", "lower", "upper"))
-    report = quantitative_report(predicted, named[0].unionByName(named[1], allowMissingColumns=True), config)
+    hashed = manifest_hash(dataset=f"{config.biomarker} in {config.target_unit}", dataset_version=content_version(all_parts), split_protocol="given train, calibration and test", feature_set=",".join(config.features), model=config.model, calibration_id=f"split conformal {config.alpha!r}", uncertainty_id=f"interval width {config.max_interval_width!r}", random_seed=config.seed)
+    report = quantitative_report(predicted, named[0].unionByName(named[1], allowMissingColumns=True), config, manifest=hashed)
     width = config.max_interval_width
     abstained = 0 if width is None else measurement.abstained(predicted, "lower", "upper", width).where("abstain").count()
     counts = {r["_part"]: r["n"] for r in all_parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    hashed = manifest_hash(dataset=f"{config.biomarker} in {config.target_unit}", dataset_version=content_version(all_parts), split_protocol="given train, calibration and test", feature_set=",".join(config.features), model=config.model, calibration_id=f"split conformal {config.alpha!r}", uncertainty_id=f"interval width {config.max_interval_width!r}", random_seed=config.seed)
     return report | {"manifest_hash": hashed, "n": counts, "model": config.model, "uncertainty": intervals | report_dict(conformal), "abstained": abstained}
 
 

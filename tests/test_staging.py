@@ -1,3 +1,5 @@
+import pytest
+
 from lumenframe.plans import staging as st
 
 
@@ -15,3 +17,23 @@ def test_small_inputs_are_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert st.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
     assert st.spread(spark.range(10).repartition(cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lumenframe.plans.staging import shared_folder
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda _: None), master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_the_library_is_sent_whole(spark):
+    import zipfile
+
+    from lumenframe.packages import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert {"lumenframe/__init__.py", "lumenframe/operators/images.py"} <= set(names) and not any("__pycache__" in n for n in names)
