@@ -56,15 +56,17 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarr
 
 def fit_ridges(df: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float]) -> list[LinearModel]:
     """Ridge for each alpha, from one aggregate, on features scaled by their population spread; a singular system gets its smallest solution."""
-    n, mean, s = cross_products(df, [*features, target])
-    k, out = len(features), []
-    spread = np.sqrt(np.diag(s)[:k] / n)
+    products = cross_products(df, [*features, target])
+    return [_ridge(features, *products, alpha) for alpha in alphas]
+
+
+def _ridge(features: Sequence[str], n: int, mean: np.ndarray, s: np.ndarray, alpha: float) -> LinearModel:
+    k = len(features)
+    spread = np.sqrt(np.maximum(np.diag(s)[:k], 0) / n)
     spread[spread == 0] = 1.0
-    for alpha in alphas:
-        gram = s[:k, :k] / np.outer(spread, spread) + alpha * np.eye(k)
-        c = np.linalg.pinv(gram, hermitian=True) @ (s[:k, k] / spread) / spread
-        out.append(LinearModel(tuple(features), tuple(map(float, c)), float(mean[k] - mean[:k] @ c)))
-    return out
+    gram = s[:k, :k] / np.outer(spread, spread) + alpha * np.eye(k)
+    c = np.linalg.pinv(gram, hermitian=True) @ (s[:k, k] / spread) / spread
+    return LinearModel(tuple(features), tuple(map(float, c)), float(mean[k] - mean[:k] @ c))
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0) -> LinearModel:
@@ -163,13 +165,55 @@ def group_folds(df: DataFrame, group: str, folds: int, alias: str = "fold") -> D
     return df.join(ranked.select(group, fold.alias(alias)), group)
 
 
-def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), outer: int = 5, inner: int = 4) -> DataFrame:
-    """(fold, alpha, mae, rmse) of ridge regression: in each outer fold the alpha that does best over inner folds of its training groups."""
+def _inner_folds(groups: DataFrame, group: str, outer: int, inner: int) -> DataFrame:
+    """(group, o, part): the inner fold of each training group of each outer fold, as ``group_folds`` deals them; ``groups`` is (group, _size, _outer)."""
+    each = groups.select(group, (-F.col("_size")).alias("_less"), "_outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o")).where("_outer <> o")
+    placed = indexed(each.select(group, "_less", "o"), ["o", "_less", group], "_rank")
+    first = placed.groupBy("o").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    if not first.where(F.col("_n") < inner).isEmpty():
+        raise ValueError("there are fewer groups than folds")
+    rank = F.col("_rank") - F.col("_first")
+    turn = F.floor(rank / inner) % 2
+    return placed.join(first, "o").select(group, "o", F.when(turn == 0, rank % inner).otherwise(inner - 1 - rank % inner).cast("int").alias("part"))
 
-    def candidates(train: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
-        return [m.predict for m in fit_ridges(train, features, target, alphas)]
 
-    return _nested(df, target, group, candidates, [float(a) for a in alphas], "alpha", outer, inner)
+def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), outer: int = 5, inner: int = 4) -> DataFrame:
+    """(fold, alpha, mae, rmse) of ridge regression: in each outer fold the alpha that does best over inner folds of its training groups.
+
+    Cross products add up, so one aggregate by fold gives those of every training set, and one more the errors of all candidates.
+    """
+    if outer < 2 or inner < 2 or not alphas:
+        raise ValueError("two folds or more and a candidate are required")
+    columns = [*features, target]
+    _, shift, _ = cross_products(df, columns)
+    placed = written(group_folds(df, group, outer, "_outer"), "folds")
+    groups = placed.groupBy(group, "_outer").agg(F.count("*").alias("_size"))
+    inside = written(_inner_folds(groups, group, outer, inner), "inner")
+    rows = placed.select(group, *(F.col(c).cast("double").alias(c) for c in columns)).join(inside, group)
+    x = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, shift, strict=True)]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.groupBy("o", "part").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs)).collect()
+
+    def products(of: Sequence[Any]) -> tuple[int, np.ndarray, np.ndarray]:
+        n, s = sum(r["n"] for r in of), np.array([sum(r[f"s{i}"] for r in of) for i in range(len(columns))])
+        p = np.zeros((len(columns), len(columns)))
+        for i, j in pairs:
+            p[i, j] = p[j, i] = sum(r[f"p{i}_{j}"] for r in of)
+        return n, shift + s / n, p - np.outer(s, s) / n
+
+    def table(models: Sequence[tuple], keys: str) -> DataFrame:
+        rows_ = [(*key, [*m.coefficients, m.intercept]) for *key, m in models]
+        return df.sparkSession.createDataFrame(rows_, f"{keys}, c array<double>")
+
+    fitted_ = sum((F.col("c")[i] * F.col(f).cast("double") for i, f in enumerate(features)), F.col("c")[len(features)])
+    e = fitted_ - F.col(target)
+    tried = [(o, i, j, _ridge(features, *products([r for r in sums if r["o"] == o and r["part"] != i]), a)) for o in range(outer) for i in range(inner) for j, a in enumerate(alphas)]
+    errors = rows.join(table(tried, "o int, part int, j int"), ["o", "part"]).groupBy("o", "part", "j").agg(F.avg(F.abs(e)).alias("mae")).collect()
+    loss = {(o, j): sum(r["mae"] for r in errors if r["o"] == o and r["j"] == j) for o in range(outer) for j in range(len(alphas))}
+    best = [min(range(len(alphas)), key=lambda j, o=o: (loss[o, j], alphas[j])) for o in range(outer)]
+    final = [(o, float(alphas[best[o]]), _ridge(features, *products([r for r in sums if r["o"] == o]), alphas[best[o]])) for o in range(outer)]
+    tested = placed.join(table(final, "_outer int, alpha double"), "_outer")
+    return tested.groupBy(F.col("_outer").alias("fold"), "alpha").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def nested_learner_cv(df: DataFrame, features: Sequence[str], target: str, group: str, learner: Any, grid: Sequence[Mapping[Any, Any]], outer: int = 5, inner: int = 4) -> DataFrame:
