@@ -166,15 +166,15 @@ def group_folds(df: DataFrame, group: str, folds: int, alias: str = "fold") -> D
 
 
 def _inner_folds(groups: DataFrame, group: str, outer: int, inner: int) -> DataFrame:
-    """(group, o, part): the inner fold of each training group of each outer fold, as ``group_folds`` deals them; ``groups`` is (group, _size, _outer)."""
-    each = groups.select(group, (-F.col("_size")).alias("_less"), "_outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o")).where("_outer <> o")
-    placed = indexed(each.select(group, "_less", "o"), ["o", "_less", group], "_rank")
-    first = placed.groupBy("o").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    """(group, _o, _part): the inner fold of each training group of each outer fold, as ``group_folds`` deals them; ``groups`` is (group, _size, _outer)."""
+    each = groups.select(group, (-F.col("_size")).alias("_less"), "_outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("_o")).where("_outer <> _o")
+    placed = indexed(each.select(group, "_less", "_o"), ["_o", "_less", group], "_rank")
+    first = placed.groupBy("_o").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
     if not first.where(F.col("_n") < inner).isEmpty():
         raise ValueError("there are fewer groups than folds")
     rank = F.col("_rank") - F.col("_first")
     turn = F.floor(rank / inner) % 2
-    return placed.join(first, "o").select(group, "o", F.when(turn == 0, rank % inner).otherwise(inner - 1 - rank % inner).cast("int").alias("part"))
+    return placed.join(first, "_o").select(group, "_o", F.when(turn == 0, rank % inner).otherwise(inner - 1 - rank % inner).cast("int").alias("_part"))
 
 
 def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), outer: int = 5, inner: int = 4) -> DataFrame:
@@ -192,7 +192,7 @@ def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group:
     rows = placed.select(group, *(F.col(c).cast("double").alias(c) for c in columns)).join(inside, group)
     x = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, shift, strict=True)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = rows.groupBy("o", "part").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs)).collect()
+    sums = rows.groupBy("_o", "_part").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs)).collect()
 
     def products(of: Sequence[Any]) -> tuple[int, np.ndarray, np.ndarray]:
         n, s = sum(r["n"] for r in of), np.array([sum(r[f"s{i}"] for r in of) for i in range(len(columns))])
@@ -203,17 +203,17 @@ def nested_group_cv(df: DataFrame, features: Sequence[str], target: str, group:
 
     def table(models: Sequence[tuple], keys: str) -> DataFrame:
         rows_ = [(*key, [*m.coefficients, m.intercept]) for *key, m in models]
-        return df.sparkSession.createDataFrame(rows_, f"{keys}, c array<double>")
+        return df.sparkSession.createDataFrame(rows_, f"{keys}, _coef array<double>")
 
-    fitted_ = sum((F.col("c")[i] * F.col(f).cast("double") for i, f in enumerate(features)), F.col("c")[len(features)])
+    fitted_ = sum((F.col("_coef")[i] * F.col(f).cast("double") for i, f in enumerate(features)), F.col("_coef")[len(features)])
     e = fitted_ - F.col(target)
-    tried = [(o, i, j, _ridge(features, *products([r for r in sums if r["o"] == o and r["part"] != i]), a)) for o in range(outer) for i in range(inner) for j, a in enumerate(alphas)]
-    errors = rows.join(table(tried, "o int, part int, j int"), ["o", "part"]).groupBy("o", "part", "j").agg(F.avg(F.abs(e)).alias("mae")).collect()
-    loss = {(o, j): sum(r["mae"] for r in errors if r["o"] == o and r["j"] == j) for o in range(outer) for j in range(len(alphas))}
+    tried = [(o, i, j, _ridge(features, *products([r for r in sums if r["_o"] == o and r["_part"] != i]), a)) for o in range(outer) for i in range(inner) for j, a in enumerate(alphas)]
+    errors = rows.join(table(tried, "_o int, _part int, _try int"), ["_o", "_part"]).groupBy("_o", "_part", "_try").agg(F.avg(F.abs(e)).alias("mae")).collect()
+    loss = {(o, j): sum(r["mae"] for r in errors if r["_o"] == o and r["_try"] == j) for o in range(outer) for j in range(len(alphas))}
     best = [min(range(len(alphas)), key=lambda j, o=o: (loss[o, j], alphas[j])) for o in range(outer)]
-    final = [(o, float(alphas[best[o]]), _ridge(features, *products([r for r in sums if r["o"] == o]), alphas[best[o]])) for o in range(outer)]
-    tested = placed.join(table(final, "_outer int, alpha double"), "_outer")
-    return tested.groupBy(F.col("_outer").alias("fold"), "alpha").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    final = [(o, float(alphas[best[o]]), _ridge(features, *products([r for r in sums if r["_o"] == o]), alphas[best[o]])) for o in range(outer)]
+    tested = placed.join(table(final, "_outer int, _alpha double"), "_outer")
+    return tested.groupBy(F.col("_outer").alias("fold"), F.col("_alpha").alias("alpha")).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def nested_learner_cv(df: DataFrame, features: Sequence[str], target: str, group: str, learner: Any, grid: Sequence[Mapping[Any, Any]], outer: int = 5, inner: int = 4) -> DataFrame:
