@@ -5,19 +5,25 @@ ones: ``draw`` is the first 32 bits of md5('seed-replicate-position') modulo the
 subjects or clusters) are first reduced to sufficient statistics, which draws add up within tasks before anything
 moves; rows are never copied. Empty or too small inputs fail; replicates whose metric can't be computed are null
 and left out, and too few left make the interval null.
+
+Where the units fit in a task, each task gets all of them and makes whole replicates of its own, so that nothing of a replicate
+moves; beyond that (MOST_UNITS, MOST_ROWS) draws are rows that meet units in a shuffle, with the same answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.draws import Digests
 from ..functions.numbers import beside
 from ..functions.ordering import indexed, order_statistics
 from ..functions.slopes import median_slope
@@ -36,6 +42,70 @@ def draws(spark: SparkSession, units: int, replicates: int, seed: int, first: in
     return each.select("rep", draw(seed, F.col("rep"), F.col("position"), units).alias("idx"))
 
 
+#: Units (170 bytes each) and rows (90 bytes each) up to which a task holds all of them, and draws that make a task worth while, where a replicate counts as 20,000 draws more.
+MOST_UNITS, MOST_ROWS, PER_TASK = 2_000_000, 4_000_000, 5_000_000
+
+
+def whole_replicates(placed: DataFrame, n: int, columns: Sequence[str], replicates: int, make: Callable[[dict[str, np.ma.MaskedArray], Sequence[int]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``make(columns, numbers)`` in tasks, each with all ``n`` rows of ``placed`` in the order of idx, masked where null, and numbers of its own of the ``replicates``."""
+    tasks = max(1, min(replicates, placed.sparkSession.sparkContext.defaultParallelism, -(-(n + 20_000) * replicates // PER_TASK)))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches).combine_chunks()
+        first, at = held.column("task")[0].as_py(), held.column("idx").to_numpy()
+        data = {}
+        for c in columns:
+            value, ordered = held.column(c).chunk(0), np.ma.MaskedArray(np.empty(n), np.ma.nomask)
+            ordered.data[at] = value.fill_null(0.0).to_numpy()
+            if value.null_count:
+                ordered.mask = np.zeros(n, bool)
+                ordered.mask[at] = value.is_null().to_numpy(zero_copy_only=False)
+            data[c] = ordered
+        del held, at
+        out = list(zip(*make(data, range(first, replicates, tasks)), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int64()] + [pa.float64()] * (len(names) - 1), strict=True)], names=names)
+
+    each = placed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "idx", *(F.col(c).cast("double").alias(c) for c in columns))
+    return each.repartitionById(tasks, "task").mapInArrow(run, schema)
+
+
+def _summed(seed: int) -> Callable[[dict[str, np.ma.MaskedArray], Sequence[int]], Iterator[tuple]]:
+    """The sums over the units that each replicate draws; null where all of them are."""
+
+    def make(data: dict[str, np.ma.MaskedArray], numbers: Sequence[int]) -> Iterator[tuple]:
+        values = np.stack([v.data for v in data.values()], axis=1)
+        there = {i: (~v.mask).astype(float) for i, v in enumerate(data.values()) if v.mask is not np.ma.nomask}
+        odd, digests = not np.isfinite(values).all(), Digests(len(values))
+        for rep in numbers:
+            times = np.bincount(digests.drawn(f"{seed}-{rep}-", len(values)), minlength=len(values)).astype(float)
+            total = (times[times > 0] @ values[times > 0] if odd else times @ values).tolist()
+            yield rep, *(None if i in there and not times @ there[i] else v for i, v in enumerate(total))
+
+    return make
+
+
+def _mean(x: np.ndarray) -> float:
+    """The mean; of a few values to the last digit, as equal errors in another order must tie."""
+    return (math.fsum(x) if len(x) <= 4096 and np.isfinite(x).all() else float(x.sum())) / len(x)
+
+
+def _shuffled(seed: int) -> Callable[[dict[str, np.ma.MaskedArray], Sequence[int]], Iterator[tuple]]:
+    """mae and rmse of each permutation, after those of the rows as they are, as replicate -1, in the task of the first; pairs with a null don't count."""
+
+    def make(data: dict[str, np.ma.MaskedArray], numbers: Sequence[int]) -> Iterator[tuple]:
+        y, p = data["y"], data["p"]
+        nulls, digests = not (y.mask is np.ma.nomask and p.mask is np.ma.nomask), Digests(len(y))
+        for rep in [-1] * (numbers[0] == 0) + list(numbers):
+            to = slice(None) if rep < 0 else digests.order(f"{seed}-{rep}-")
+            e = p.data[to] - y.data
+            if nulls:
+                e = e[~(np.ma.getmaskarray(p)[to] | np.ma.getmaskarray(y))]
+            yield (rep, _mean(np.abs(e)), math.sqrt(_mean(e * e))) if len(e) else (rep, None, None)
+
+    return make
+
+
 def sums(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Sufficient statistics of error metrics for each unit."""
     a, b = F.col(y).cast("double"), F.col(p).cast("double")
@@ -73,7 +143,11 @@ def bootstrap(units: DataFrame, keys: Sequence[str], metrics: Sequence[str], rep
     if n_units < 2:
         raise ValueError("at least two units are required")
     total = placed.agg(*(F.sum(c).alias(c) for c in SUMS)).select(*(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
-    reps = draws(units.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg(*(F.sum(c).alias(c) for c in SUMS)).select("rep", *(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
+    if n_units <= MOST_UNITS:
+        made = whole_replicates(placed, n_units, SUMS, replicates, _summed(seed), ", ".join(["rep long", *(f"{c} double" for c in SUMS)]))
+    else:
+        made = draws(units.sparkSession, n_units, replicates, seed).join(placed, "idx").groupBy("rep").agg(*(F.sum(c).alias(c) for c in SUMS))
+    reps = made.select("rep", *(m.alias(k) for k, m in metrics_of_sums().items() if k in metrics))
     tail = (1 - confidence) / 2
     long = lambda df, *keep: df.select(*keep, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select(*keep, "x.metric", "x.v")
     spread = long(reps, "rep").groupBy("metric").agg(F.expr(f"percentile(v, array({tail!r}, {1 - tail!r}))").alias("q"), F.count("v").alias("defined"))
@@ -149,16 +223,8 @@ def method_comparison(df: DataFrame, reference: str = "reference_value", measure
 PER_RANGE = 100_000
 
 
-def permutation_tests(df: DataFrame, y: str, p: str, row_id: str, metrics: Sequence[str] = ("mae", "rmse"), permutations: int = 2000, seed: int = 42) -> DataFrame:
-    """The error against that of predictions shuffled among rows; the null hypothesis is an error as small by chance. All metrics from one set of permutations.
-
-    In each permutation predictions are ranked by a hash of replicate and row, and the k-th goes to the k-th row. Ranks are
-    counted within ranges of the hash of about PER_RANGE rows, so that no task holds all rows of a permutation.
-    """
-    placed = written(indexed(df.select(F.col(row_id).alias("row_id"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")), ["row_id"]), "rows")
-    n = placed.count()
-    if n < 2:
-        raise ValueError("at least two rows are required")
+def _shuffled_in_ranges(placed: DataFrame, n: int, metrics: Sequence[str], permutations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The observed errors and those of each permutation, in which rows are ranked within ranges of their hash."""
     ranges = -(-n // PER_RANGE)
     reps = spread(placed.select("idx", "p")).select("idx", "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string")).cast("binary"))
@@ -175,6 +241,24 @@ def permutation_tests(df: DataFrame, y: str, p: str, row_id: str, metrics: Seque
     value = {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e))}
     observed = placed.agg(*(value[m].alias(f"observed_{m}") for m in metrics))
     null = ranked.join(placed.select("idx", "y"), "idx").groupBy("rep").agg(*(value[m].alias(m) for m in metrics))
+    return observed, null
+
+
+def permutation_tests(df: DataFrame, y: str, p: str, row_id: str, metrics: Sequence[str] = ("mae", "rmse"), permutations: int = 2000, seed: int = 42) -> DataFrame:
+    """The error against that of predictions shuffled among rows; the null hypothesis is an error as small by chance. All metrics from one set of permutations.
+
+    In each permutation predictions are ranked by a hash of replicate and row, and the k-th goes to the k-th row. Beyond MOST_ROWS ranks
+    are counted within ranges of the hash of about PER_RANGE rows, so that no task holds all rows of a permutation.
+    """
+    placed = written(indexed(df.select(F.col(row_id).alias("row_id"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")), ["row_id"]), "rows")
+    n = placed.count()
+    if n < 2:
+        raise ValueError("at least two rows are required")
+    if n <= MOST_ROWS:
+        made = written(whole_replicates(placed, n, ("y", "p"), permutations, _shuffled(seed), "rep long, mae double, rmse double"), "permutations")
+        observed, null = made.where("rep < 0").select(*(F.col(m).alias(f"observed_{m}") for m in metrics)), made.where("rep >= 0")
+    else:
+        observed, null = _shuffled_in_ranges(placed, n, metrics, permutations, seed)
     each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"observed_{m}").alias("observed"), F.col(m).alias("v")) for m in metrics))
     long = beside(null, observed).select(F.explode(each).alias("x")).select("x.*")
     out = long.groupBy("metric", "observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_std"), ((1 + F.count_if(F.col("v") <= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p_value"))

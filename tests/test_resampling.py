@@ -177,3 +177,38 @@ def test_stacked_ranks(spark):
     df = spark.createDataFrame([(1, 3.0, 2.0), (2, 1.0, None), (3, 3.0, 5.0), (4, None, 2.0)], "i int, x double, y double")
     got = {q["i"]: (q["rank_x"], q["rank_y"]) for q in measurement.stacked_ranks(df, ("x", "y")).collect()}
     assert got == {1: (2.5, 1.5), 2: (1.0, None), 3: (2.5, 3.0), 4: (None, 1.5)}
+
+
+def test_draws_and_orders_are_those_of_md5():
+    from lumenframe.functions.draws import Digests
+
+    n = 20_011
+    d = Digests(n)
+    for prefix in ("42-7-", "42-1999-", "7-12-"):
+        text = [hashlib.md5(f"{prefix}{i}".encode()).hexdigest() for i in range(n)]
+        assert d.drawn(prefix, 977).tolist() == [int(t[:8], 16) % 977 for t in text]
+        assert d.order(prefix).tolist() == sorted(range(n), key=lambda i: (text[i], i))
+
+
+def test_replicates_in_tasks_equal_those_in_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, f"c{i % 9}", None if i % 13 == 0 or i % 9 == 4 else float(a), float("inf") if i == 5 else float(b)) for i, (a, b) in enumerate(rng.normal(10, 2, (90, 2)))]
+    df = spark.createDataFrame(data, "id long, g string, y double, p double")
+    both = lambda: (rows(r.cluster_bootstrap(df, "y", "p", "g", replicates=100)), rows(r.permutation_tests(df.where("id <> 5"), "y", "p", "id", permutations=40)))
+    monkeypatch.setattr(r, "PER_TASK", 500)
+    here = both()
+    monkeypatch.setattr(r, "MOST_UNITS", 0)
+    monkeypatch.setattr(r, "MOST_ROWS", 0)
+    for a, b in zip(here, both(), strict=True):
+        for one_, other in zip(a, b, strict=True):
+            assert one_ == pytest.approx(other, nan_ok=True)
+
+
+def test_replicates_that_fit_in_tasks_move_nothing(spark, monkeypatch):
+    """No row of a permutation and no draw is a row of a table."""
+    df = spark.range(500).selectExpr("id", "cast(id as double) as y", "cast((id * 7) % 500 as double) as p")
+    plan = r.permutation_tests(df, "y", "p", "id", permutations=2000)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "md5" not in plan
+    made = []
+    monkeypatch.setattr(r, "draws", lambda *a: made.append(a))
+    assert r.cluster_bootstrap(df, "y", "p", "id", replicates=200).count() == 4 and not made
