@@ -197,3 +197,52 @@ def test_registered_models_have_the_operators_sizes(spark, small, monkeypatch):
     forest, boosting = seen["learners"]["random_forest"], seen["learners"]["gradient_boosting"]
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosting.getMaxIter()) == (300, 30, 200)
     assert experiments.nested_selection(spark, small).count() == 5
+
+
+def brute_tree(x, y, times, rows_, depth, least):
+    """The tree by trying every split of every node: its value, or feature, threshold and both sides."""
+    best = None
+    for f in range(len(x)) if depth and y[rows_].min() < y[rows_].max() else ():
+        values = np.unique(x[f][rows_])
+        for a, b in zip(values[:-1], values[1:], strict=True):
+            low, high = rows_[x[f][rows_] <= a], rows_[x[f][rows_] > a]
+            if min(len(low), len(high)) >= least:
+                n, m = times[low].sum(), times[high].sum()
+                gain = n * m / (n + m) * (np.average(y[low], weights=times[low]) - np.average(y[high], weights=times[high])) ** 2
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, f, a + (b - a) / 2, low, high
+    if best is None:
+        return np.average(y[rows_], weights=times[rows_])
+    return best[1], best[2], *(brute_tree(x, y, times, side, depth - 1, least) for side in best[3:])
+
+
+def test_trees_equal_brute_force():
+    from lumenframe.functions import trees as t
+
+    for seed in range(20):
+        g = np.random.default_rng(seed)
+        n, depth, least = int(g.integers(2, 50)), int(g.integers(1, 12)), int(g.integers(1, 4))
+        x = np.stack([g.normal(size=n), g.integers(0, 4, n) * 1.0, g.integers(0, 2, n) * 1.0])
+        y, times, q = g.normal(size=n) + x[0], np.bincount(g.integers(0, n, n), minlength=n) * 1.0, g.normal(size=(3, 30))
+        tree, want = brute_tree(x, y, times, np.flatnonzero(times), depth, least), []
+        for ask in q.T:
+            at = tree
+            while isinstance(at, tuple):
+                at = at[2] if ask[at[0]] <= at[1] else at[3]
+            want.append(at)
+        assert t.grown(x, t.sorted_rows(x), y, times, depth, least).predict(q) == pytest.approx(np.array(want))
+
+
+def test_whole_forests_and_boosting_end_without_a_job_for_each_level(spark, data):
+    """300 trees of depth 30 and 200 rounds take few jobs, and predictions don't depend on how tables are parted."""
+    x, y, df = data
+    tracker, learners = spark.sparkContext.statusTracker(), m.tree_learners()
+    spark.sparkContext.setJobGroup("trees", "trees")
+    got = {k: {tuple(r)[:5]: r["prediction"] for r in m.fit_predict(k, df, df, ["a", "b", "c"], "y", learners).collect()} for k in learners}
+    assert len(tracker.getJobIdsForGroup("trees")) < 40
+    spark.sparkContext.setJobGroup("other", "other")
+    assert {tuple(r)[:5]: r["prediction"] for r in m.fit_predict("random_forest", df.repartition(3), df, ["a", "b", "c"], "y", learners).collect()} == pytest.approx(got["random_forest"])
+    for p in got.values():
+        assert np.mean([abs(v - k[4]) for k, v in p.items()]) < 0.5 < np.std(y)
+    with pytest.raises(ValueError, match="finite"):
+        m.fit_predict("random_forest", df.selectExpr("*", "if(a > 0, a, null) as d"), df, ["d"], "y", learners)
