@@ -147,3 +147,28 @@ def test_repeats_by_digest_or_place(spark, folder):
 
 def test_empty_inventory(spark, folder):
     assert rows(p2_found(spark, folder(inventory=spark.createDataFrame([], "file_id long, image_path string, sha256 string, batch_id int")))) == []
+
+
+def test_repeats_of_batches_out_of_order(spark, tmp_path):
+    """A smaller file that comes in a later round counts for those before it, too."""
+    a, b = bytes(range(32)), bytes(range(32, 64))
+    data = [(500, 0, a, 0), (600, 0, b, 0), (601, 0, b, 0), (100, 0, a, 1), (700, 0, a, 2), (50, 0, b, 2), (900, 0, None, 2)]
+    ev = spark.createDataFrame([(i, k, None if v is None else bytearray(v), n) for i, k, v, n in data], "file_id long, kind byte, vec binary, batch_id int")
+    sizes = ev.groupBy("batch_id").agg(F.count("*").alias("n"))
+    for number, how in enumerate(((0.0, 0), (1.0, 10_000))):
+        index = vc.CellIndex(spark, str(tmp_path / str(number)))
+        assert rows(vc.replay(index, ev, sizes, *how)) == [(500, 100), (600, 50), (601, 50), (700, 100)]
+
+
+def test_a_round_moves_its_vectors_once(spark, vectors, tmp_path):
+    """Each round is one shuffle of its vectors and one of the index, and rows that don't repeat aren't moved to be joined in the end."""
+    index = vc.CellIndex(spark, str(tmp_path / "a"))
+    index.take_in(evidence(spark, vectors[:100]), str(tmp_path / "first"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = index.met(evidence(spark, vectors[100:]))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    many = spark.range(20_000).selectExpr("cast(0 as byte) as kind", "unhex(sha2(cast(id as string), 256)) as vec", "id as file_id")
+    few = many.where("file_id % 400 = 0").select("kind", "vec")
+    kept = vc._sifted(many, few)
+    assert {r["file_id"] for r in kept.collect()} >= set(range(0, 20_000, 400)) and kept.count() < 60
